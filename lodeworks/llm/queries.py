@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import mixing, sharding
+from lodeworks.llm import langid, mixing, sharding, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.rate(docs.select("doc_id", "text"), machine).drop("text")
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark, sf_dir):
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.histogram_sort(table(spark, sf_dir, "documents"), shard_bytes=SHARD_BYTES)
 
