@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import langid, mixing, sharding, toxicity
+from lodeworks.llm import langid, mixing, pieces, sharding, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
@@ -14,6 +14,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.rate(docs.select("doc_id", "text"), machine).drop("text")
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return pieces.tokenize(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
