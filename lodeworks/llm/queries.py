@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import langid, mixing, pieces, sharding, toxicity
+from lodeworks.llm import langid, mixing, pieces, repeats, sharding, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
@@ -30,6 +30,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.histogram_sort(table(spark, sf_dir, "documents"), shard_bytes=SHARD_BYTES)
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return repeats.spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
