@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import langid, mixing, pieces, repeats, sharding, toxicity
+from lodeworks.llm import langid, mixing, pieces, repeats, sharding, simhash, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
