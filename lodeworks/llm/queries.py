@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import langid, mixing, pieces, repeats, sharding, simhash, toxicity
+from lodeworks.llm import htmltext, langid, mixing, pieces, repeats, sharding, simhash, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark, sf_dir):
     return pieces.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
