@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import htmltext, langid, mixing, pieces, repeats, sharding, simhash, toxicity
+from lodeworks.llm import caps, htmltext, langid, mixing, pieces, repeats, sharding, simhash, topk, toxicity
 from lodeworks.llm.common import table
 
 SHARD_BYTES = 32 << 20
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark, sf_dir):
     return pieces.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), **topk.PRODUCTION)
+
+
 def op5_html(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_caps(spark, sf_dir):
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), **caps.PRODUCTION)
+
+
 def op8_langid(spark, sf_dir):
     return langid.detect(table(spark, sf_dir, "documents"))
 
@@ -47,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.mixing_sql(), "op9_sharding": sharding.sharding_sql(SHARD_BYTES)}
+    return {"op4_topk": topk.topk_sql(topk.PRODUCTION["k"]), "op6_mixing": mixing.mixing_sql(), "op9_sharding": sharding.sharding_sql(SHARD_BYTES)}
