@@ -1,8 +1,84 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: from raw documents to token ids, in five stages.
+
+Each stage works on all documents that its predecessor kept, and takes and gives
+a table that is written as Parquet in between. ORACLE_SQL is None: training a
+factorization machine, graph search and subword encoding are beyond SQL, so the
+tests hold the pipeline against brute-force versions instead.
+"""
+
+from __future__ import annotations
+
+from functools import wraps
+
+from lodeworks.llm import mixing, pieces, repeats, simhash, toxicity
+from lodeworks.llm.common import landed, mark, release, table
 
-STAGES = []
 ORACLE_SQL = None
+_SCRATCH = [0, 0]
+
+
+def _stage(f):
+    """Delete what the stage before wrote for itself: its result is out by now."""
+
+    @wraps(f)
+    def run_stage(spark, docs, sf_dir):
+        release(*_SCRATCH)
+        start = mark()
+        out = f(spark, docs, sf_dir)
+        _SCRATCH[:] = start, mark()
+        return out
+
+    return run_stage
+
+
+@_stage
+def toxicity_stage(spark, docs, sf_dir):
+    """Documents that a factorization machine, trained on the labels, doesn't call toxic."""
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rated = toxicity.rate(docs, machine)
+    return rated.where("not toxic").drop("score", "toxic").toDF(*docs.columns)
+
+
+@_stage
+def near_dedup_stage(spark, docs, sf_dir):
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+@_stage
+def repeats_stage(spark, docs, sf_dir):
+    """Texts without the later copies of passages of 50 words or more."""
+    return repeats.drop_repeats(docs)
+
+
+@_stage
+def mixing_stage(spark, docs, sf_dir):
+    """Documents as often as the target weights of their sources ask for."""
+    return mixing.mix(docs, carry=True)
+
+
+@_stage
+def encoding_stage(spark, docs, sf_dir):
+    """doc_id, lang, source, ids, n_ids, exact: the documents as token ids."""
+    return pieces.tokenize(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", encoding_stage),
+]
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply STAGES to the documents; all but the last result are written to the shared folder and read again."""
+    docs, written = table(spark, sf_dir, "documents"), (0, 0)
+    for name, stage in STAGES[:-1]:
+        result = stage(spark, docs, sf_dir)
+        at = mark()
+        docs = landed(result, name.replace(" ", "_"))
+        release(*written)
+        written = at, at + 1
+    return STAGES[-1][1](spark, docs, sf_dir)

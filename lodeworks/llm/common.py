@@ -51,14 +51,17 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 _PATHS: list = []
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that landed() wrote, but for the last `keep`; call it when the results are out."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_PATHS) > keep:
-        _, path = _PATHS.pop(0)
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def mark() -> int:
+    """A place in the list of written tables, for release()."""
+    return len(_PATHS)
+
+
+def release(since: int, until: int) -> None:
+    """Delete the tables that landed() wrote between two marks; call it when nothing reads them any more."""
+    for i in range(since, until):
+        spark, path = _PATHS[i]
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free(names: Iterable[str], wanted: str) -> str:
