@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
+from lodeworks.llm.textbytes import Roller, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+MISS, START, OUT_OF_VOCABULARY = -9, -3, -2
+_ROLL = Roller(seed=41)
 CACHE = 300_000
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -57,6 +60,45 @@ def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += size
 
 
+class Table:
+    """A map from 64-bit keys to small numbers, for many keys at a time: open addressing over arrays."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.bits, self.count = bits, 0
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)  # 0 is empty; keys are never 0
+        self.vals = np.full(1 << bits, MISS, dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), MISS, dtype=np.int32)
+        at, slot = np.arange(len(keys)), self._slot(keys)
+        while len(at):
+            found = self.keys[slot]
+            hit = found == keys[at]
+            out[at[hit]] = self.vals[slot[hit]]
+            on = ~hit & (found != 0)
+            at, slot = at[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, vals: np.ndarray) -> None:
+        """Add keys that differ from each other and from those that are there."""
+        while 3 * (self.count + len(keys)) > 1 << self.bits:
+            old = self.keys != 0
+            k, v = self.keys[old], self.vals[old]
+            Table.__init__(self, self.bits + 2)
+            self.put(k, v)
+        self.count += len(keys)
+        slot = self._slot(keys)
+        while len(keys):
+            empty = self.keys[slot] == 0
+            self.keys[slot[empty]] = keys[empty]
+            placed = self.keys[slot] == keys
+            self.vals[slot[placed]] = vals[placed]
+            keys, vals, slot = keys[~placed], vals[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+
 class Model:
     """A SentencePiece model file: pieces, scores, and what the encoder needs of its settings."""
 
@@ -105,6 +147,12 @@ class Model:
         self.unk_score = min(used, default=0.0) - 10.0
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.index)
         self.apart: dict[int, bool] = {}
+        # no path crosses a line feed either, where no piece has one
+        feed = "" if any("\n" in p for p in self.index) else "\n"
+        self.segments = re.compile(f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + (feed and f"|{feed}+")).findall
+        self.known = Table()
+        self._tables: Table | None = None
+        self.same = list(range(len(self.pieces)))
         self.trie = {p[:i]: -1 for p in self.index for i in range(1, len(p))}
         self.trie.update(self.index)
 
@@ -245,6 +293,90 @@ class Model:
                     total[one], cell[one], ids[one] = gain if unigram else 0.0, (gain, text[start], start), -1
         return self._path(cell, n)
 
+    def windows(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The ids of many short texts: window() and ids_of(), for all of them at a time."""
+        if self.type != BPE or not texts:
+            return [self.ids_of(self.window(t)) for t in texts]
+        if self._tables is None:
+            names = list(self.trie)
+            flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            end = np.cumsum([len(x) for x in names])
+            self._tables = Table()
+            self._tables.put(_ROLL.spans(flat, end - [len(x) for x in names], end, premul=mix(flat.astype(np.uint64) + np.uint64(7))) | np.uint64(1), np.array([self.trie[x] for x in names], dtype=np.int32))
+        size = np.array([len(t) for t in texts])
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        key = mix(code.astype(np.uint64) + np.uint64(7))
+        owner = np.repeat(np.arange(len(texts)), size)
+        stop = np.cumsum(size)
+        first = stop - size
+        # all pieces from all places, one character longer at a time
+        place = np.arange(len(code))
+        starts, ends, ids = [], [], []
+        for length in range(1, self.longest + 1):
+            got = self._tables.get(_ROLL.spans(code, place, place + length, premul=key) | np.uint64(1))
+            piece = got >= 0
+            if length == 1:
+                starts.append(place[~piece])
+                ends.append(place[~piece] + 1)
+                ids.append(OUT_OF_VOCABULARY - code[place[~piece]].astype(np.int64))
+            starts.append(place[piece])
+            ends.append(place[piece] + length)
+            ids.append(got[piece].astype(np.int64))
+            place = place[(got != MISS) & (place + length < stop[owner[place]])]
+            if not len(place):
+                break
+        start, end, at = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+        text = owner[start]
+        rel = end - first[text]
+        by = np.argsort(rel, kind="stable")
+        start, end, at, text, rel = start[by] + text[by], end[by] + text[by], at[by], text[by], rel[by]
+        # a boundary for each character and one behind each text
+        last = np.full(len(code) + len(texts), START, dtype=np.int64)
+        back = np.zeros(len(last), dtype=np.int64)
+        cut = np.searchsorted(rel, np.arange(1, int(size.max()) + 2))
+        for a, b in zip(cut[:-1], cut[1:]):
+            left, right = last[start[a:b]], at[a:b]
+            ok = (left < 0) | (right < 0)
+            ask = np.flatnonzero(~ok)
+            if len(ask):
+                pair = (left[ask] << 32 | right[ask]).astype(np.uint64) + np.uint64(1)
+                said = self.known.get(pair)
+                new = said == MISS
+                if new.any():
+                    fresh = np.unique(pair[new])
+                    if self.known.count > 4_000_000:
+                        self.known = Table()
+                    answer = [self.merged(self.pieces[int(x) >> 32] + self.pieces[int(x) & 0xFFFFFFFF]) == [self.pieces[int(x) >> 32], self.pieces[int(x) & 0xFFFFFFFF]] for x in fresh - np.uint64(1)]
+                    unseen = self.known.get(fresh) == MISS
+                    self.known.put(fresh[unseen], np.array(answer, dtype=np.int32)[unseen])
+                    said = self.known.get(pair)
+                ok[ask] = said == 1
+            last[end[a:b][ok]] = right[ok]
+            back[end[a:b][ok]] = start[a:b][ok]
+        # walk back from all ends at a time
+        now, live = stop + np.arange(len(texts)), np.arange(len(texts))
+        begin = first + np.arange(len(texts))
+        steps, rows = [], []
+        while len(live):
+            steps.append(last[now])
+            rows.append(live)
+            now = back[now]
+            on = now > begin[live]
+            now, live = now[on], live[on]
+        row, piece = np.concatenate(rows), np.concatenate(steps)
+        by = np.argsort(row[::-1], kind="stable")
+        row, piece = row[::-1][by], piece[::-1][by]
+        same = self.same
+        flat = [same[x] if x >= 0 else x for x in piece.tolist()]
+        to = np.searchsorted(row, np.arange(1, len(texts) + 1)).tolist()
+        out, a = [], 0
+        for b in to:
+            out.append(tuple(flat[a:b]))
+            a = b
+        for i in set(row[piece < 0].tolist()):
+            out[i] = self.ids_of(self.pieces[x] if x >= 0 else chr(OUT_OF_VOCABULARY - x) for x in out[i])
+        return out
+
     def ids_of(self, pieces: Iterable[str]) -> tuple[int, ...]:
         out: list[int] = []
         for p in pieces:
@@ -257,33 +389,49 @@ class Model:
                 out.append(self.unk)
         return tuple(out)
 
-    def encode(self, text: str, cache: dict | None = None, older: dict | None = None) -> list[int]:
+    def learn(self, segments: Iterable[str], cache: dict, older: dict) -> None:
+        """See that cache holds all short segments; beyond its size, those not met lately move to older, then go."""
+        if len(cache) >= CACHE:
+            older.clear()
+            older.update(cache)
+            cache.clear()
+        todo = []
+        for seg in segments:
+            if len(seg) <= 4 * self.longest:
+                ids = older.get(seg)
+                if ids is None:
+                    todo.append(seg)
+                else:
+                    cache[seg] = ids
+        cache.update(zip(todo, self.windows(todo)))
+
+    def encode_segments(self, segments: list[str], cache: dict) -> list[int]:
+        try:
+            return list(chain.from_iterable(map(cache.__getitem__, segments)))
+        except KeyError:
+            out: list[int] = []
+            for seg in segments:
+                ids = cache.get(seg)
+                if ids is None:
+                    ids = self.ids_of(self.stream(seg) if len(seg) > 4 * self.longest else self.window(seg))
+                out += ids
+            return out
+
+    def encode(self, text: str, cache: dict | None = None) -> list[int]:
         """The ids of a text. No piece has a space mark after another character,
-        so all paths converge before each run of marks: segments between such
-        boundaries are independent, and cache (in two generations, so that its
-        memory is bounded) keeps those already met."""
+        so all paths converge before each run of marks (and at line feeds, if no
+        piece has any): segments between such boundaries are independent, and cache may hold some of them."""
         norm = self.normalized(text)
         if self.inner_space:
             return list(self.ids_of(self.stream(norm)))
-        cache = {} if cache is None else cache
-        older = {} if older is None else older
-        out: list[int] = []
-        for seg in _SEGMENT.findall(norm):
-            ids = cache.get(seg)
-            if ids is None:
-                if len(seg) > 4 * self.longest:
-                    ids = self.ids_of(self.stream(seg))
-                else:
-                    ids = older.pop(seg, None) or self.ids_of(self.window(seg))
-                    cache[seg] = ids
-                    if len(cache) >= CACHE:
-                        older.clear()
-                        older.update(cache)
-                        cache.clear()
-            out += ids
-        if not self.byte_fallback:
-            out = [x for i, x in enumerate(out) if x != self.unk or i == 0 or out[i - 1] != self.unk]
-        return out
+        out = self.encode_segments(self.segments(norm), {} if cache is None else cache)
+        return self.joined(out)
+
+    def joined(self, ids: list[int]) -> list[int]:
+        """Without byte pieces, unknown characters in a row are one unknown id."""
+        if self.byte_fallback:
+            return ids
+        return [x for i, x in enumerate(ids) if x != self.unk or i == 0 or ids[i - 1] != self.unk]
 
     def decoder(self) -> list[bytes]:
         """The bytes of each id; control pieces are empty."""
@@ -331,15 +479,37 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep:
     def work(batches):
         model, *caches = loaded(model_path)
         table = model.decoder()
+
+        def encoded(texts):
+            """In runs of about a million characters: what no cache holds yet is encoded together."""
+            at = 0
+            while at < len(texts):
+                to, chars = at, 0
+                while to < len(texts) and chars < 1_000_000:
+                    chars += len(texts[to] or "")
+                    to += 1
+                if model.inner_space:
+                    yield from (t if t is None else model.encode(t) for t in texts[at:to])
+                else:
+                    split = [None if t is None else model.segments(model.normalized(t)) for t in texts[at:to]]
+                    new = set()
+                    for segs in split:
+                        new.update(segs or ())
+                    if len(caches[0]) >= CACHE:
+                        model.learn((), *caches)
+                    model.learn(new.difference(caches[0]), *caches)
+                    for segs in split:
+                        yield None if segs is None else model.joined(model.encode_segments(segs, caches[0]))
+                at = to
+
         for batch in batches:
             flat, size, exact = [], [], []
-            for value in batch.column("_text"):
-                t = value.as_py()
+            texts = batch.column("_text").to_pylist()
+            for t, ids in zip(texts, encoded(texts)):
                 if t is None:
                     size.append(-1)
                     exact.append(True)
                     continue
-                ids = model.encode(t, *caches)
                 exact.append(model.decode(ids, table) == t)
                 size.append(len(ids))
                 flat.append(np.array(ids, dtype=np.int32))
