@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeworks.queries import analytics, changes, landing, scalars
+from lodeworks.queries import analytics, changes, landing, scalars, stored
 
-_PARTS = (analytics, landing, changes, scalars)
+_PARTS = (analytics, landing, changes, scalars, stored)
 
 
 def queries() -> dict:
