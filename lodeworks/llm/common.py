@@ -51,6 +51,13 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 _PATHS: list = []
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """Mark a join side that grows with the corpus: it is hash-partitioned along with
+    the other side at every size, never sent to all executors. Each partition of
+    it is held as a hash table, so the larger side needs no sort."""
+    return df.hint("shuffle_hash")
+
+
 def mark() -> int:
     """A place in the list of written tables, for release()."""
     return len(_PATHS)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import landed, make_room
+from lodeworks.llm.common import free, grown, landed, make_room
 from lodeworks.llm.textbytes import Roller, chunks, text_column, words
 
 MIN_WORDS = 50
@@ -258,13 +258,13 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
     marked = landed(anchored.select("k", "th", "n").join(copies, F.col("th") == F.col("th2")).drop("th2"), "copies")
     whole = marked.select("k", "th", F.lit(0).alias("lo"), (F.col("n") - (min_words - 1)).alias("hi"), (F.col("k") == F.col("head")).alias("head"))
     extra = marked.where("k > head").select(F.col("k").alias("k2"), F.col("th").alias("th2")).distinct()
-    distinct = anchored.join(extra, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left_anti")
+    distinct = anchored.join(grown(extra), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left_anti")
 
     flat = distinct.select("k", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(F.col("a.hs").alias("h"), "k", "th", F.col("a.ps").alias("p"))
     met = landed(flat.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("h"))).where("c > 1").drop("c"), "met")
     shards = max(1, -(-met.count() * (2 * side + anchor_words) // SHARD_WORDS))
     wanted = met.groupBy(F.col("k").alias("k2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("h", "p")).alias("a"))
-    near = doc_side.join(wanted, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", F.col("a.h").alias("hs"), F.col("a.p").alias("ps"), "text")
+    near = doc_side.join(grown(wanted), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", F.col("a.h").alias("hs"), F.col("a.p").alias("ps"), "text")
 
     def surroundings(batches):
         for batch in batches:
@@ -356,9 +356,9 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int
     t = F.col(f"`{same[text]}`").cast("string")
     base = base.withColumn("_k", F.coalesce(F.col(f"`{same[key]}`").cast("bigint"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(t))
     cut = landed(cut, "cuts")
-    both = base.join(cut, (F.col("_k") == F.col("_k2")) & (F.col("_th") == F.col("_th2")), "left")
+    both = base.join(grown(cut), (F.col("_k") == F.col("_k2")) & (F.col("_th") == F.col("_th2")), "left")
     calm = both.where("_cuts is null").select(*[F.col(f"`{same[c]}`").alias(c) for c in names])
-    hit = both.where("_cuts is not null").select(*[F.col(f"`{same[c]}`").alias(c) for c in names], "_cuts")
+    hit = both.where("_cuts is not null").select(*[F.col(f"`{same[c]}`").alias(c) for c in names], F.col("_cuts").alias(free(names, "_cuts")))
     counts = length in names if length else False
 
     def shorten(batches):

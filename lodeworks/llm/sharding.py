@@ -36,7 +36,8 @@ def below(key: Column, cuts: list[int]) -> Column:
 
 
 def find_cuts(slim: DataFrame, shards: int, tolerance: float, probes: int) -> list[int]:
-    """Cut keys: shard i ends with the key cuts[i] (slim has columns k and b).
+    """Cut keys: shard i ends with the key cuts[i] (slim has columns k and b); where
+    one key holds several cuts, the shards between them are empty.
 
     Cut i is a key whose cumulative bytes are within tolerance (a share of a
     mean shard) of i/shards of all bytes, or, where a single key weighs more,
@@ -65,7 +66,7 @@ def find_cuts(slim: DataFrame, shards: int, tolerance: float, probes: int) -> li
         keys = sorted(k for k in ask if k >= low)
         if not keys:
             if all(c is not None for c in cuts):
-                return sorted(set(cuts))
+                return sorted(cuts)
             keys = [low]
         found = {r[0]: r[1] for r in slim.groupBy(below(F.col("k"), keys).alias("cell")).agg(F.sum("b")).collect()}
         run, cum = 0, []

@@ -138,13 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, key: s
     """Train on at most train_rows labelled texts, those with the smallest hash of their key.
 
     Rows with a null key, text or label are left out; a key that labels names
-    twice counts with its greatest label.
+    twice counts with its greatest label. The sample's keys are broadcast: there
+    are train_rows of them, whatever the size of the tables.
     """
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     bound = known.select(F.xxhash64("k").alias("h")).orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
     if bound is None:
         return train([], np.zeros(0))
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").join(known.where(F.xxhash64("k") <= bound), "k").select("k", "y", "text")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").join(F.broadcast(known.where(F.xxhash64("k") <= bound)), "k").select("k", "y", "text")
 
     def features(batches):
         for batch in batches:
