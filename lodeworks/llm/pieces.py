@@ -31,7 +31,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 MISS, START, OUT_OF_VOCABULARY = -9, -3, -2
 _ROLL = Roller(seed=41)
-CACHE = 300_000
+CACHE = 160_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -84,10 +84,10 @@ class Table:
 
     def put(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """Add keys that differ from each other and from those that are there."""
-        while 3 * (self.count + len(keys)) > 1 << self.bits:
+        while 2 * (self.count + len(keys)) > 1 << self.bits:
             old = self.keys != 0
             k, v = self.keys[old], self.vals[old]
-            Table.__init__(self, self.bits + 2)
+            Table.__init__(self, self.bits + 1)
             self.put(k, v)
         self.count += len(keys)
         slot = self._slot(keys)
@@ -147,9 +147,14 @@ class Model:
         self.unk_score = min(used, default=0.0) - 10.0
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.index)
         self.apart: dict[int, bool] = {}
-        # no path crosses a line feed either, where no piece has one
-        feed = "" if any("\n" in p for p in self.index) else "\n"
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + (feed and f"|{feed}+")).findall
+        # marks that no piece joins with other characters: no path runs across their borders either
+        pairs = {p[i : i + 2] for p in self.index for i in range(len(p) - 1)}
+        marks = {c for p in self.index for c in p if not c.isalnum()} | {"\n"}
+        marks.discard(SPACE)
+        while odd := {c for x, y in pairs for c in (x, y) if c in marks and ((x in marks) != (y in marks)) and x != SPACE}:
+            marks -= odd
+        own = re.escape("".join(sorted(marks)))
+        self.segments = re.compile(f"{SPACE}*[^{SPACE}{own}]+|{SPACE}*[{own}]+|{SPACE}+" if own else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known = Table()
         self._tables: Table | None = None
         self.same = list(range(len(self.pieces)))
@@ -344,7 +349,7 @@ class Model:
                 new = said == MISS
                 if new.any():
                     fresh = np.unique(pair[new])
-                    if self.known.count > 4_000_000:
+                    if self.known.count > 1_000_000:
                         self.known = Table()
                     answer = [self.merged(self.pieces[int(x) >> 32] + self.pieces[int(x) & 0xFFFFFFFF]) == [self.pieces[int(x) >> 32], self.pieces[int(x) & 0xFFFFFFFF]] for x in fresh - np.uint64(1)]
                     unseen = self.known.get(fresh) == MISS
@@ -419,8 +424,8 @@ class Model:
 
     def encode(self, text: str, cache: dict | None = None) -> list[int]:
         """The ids of a text. No piece has a space mark after another character,
-        so all paths converge before each run of marks (and at line feeds, if no
-        piece has any): segments between such boundaries are independent, and cache may hold some of them."""
+        so all paths converge before each run of space marks, and around runs of
+        punctuation that no piece joins with letters: segments between such boundaries are independent, and cache may hold some of them."""
         norm = self.normalized(text)
         if self.inner_space:
             return list(self.ids_of(self.stream(norm)))
