@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import landed
+from lodeworks.llm.textbytes import frugal
 
 
 def _forest(batches):
@@ -45,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a is not null and b is not null")
     loops = e.where("a = b").select(F.col("a").alias("node"))
     e = e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = landed(e.mapInArrow(_forest, "u bigint, v bigint"), "forest")
+    e = landed(e.mapInArrow(frugal(_forest), "u bigint, v bigint"), "forest")
     mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = mark(e)
     while last[0]:

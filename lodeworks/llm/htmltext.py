@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
+from lodeworks.llm.textbytes import frugal
 
 SMOOTH = (0.2, 0.6, 0.2)
 SPREAD = 0.5
@@ -155,4 +156,4 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", smooth:
             text, kept, total = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(kept, pa.int32()), pa.array(total, pa.int32())], [field.name, "text", "kept_nodes", "all_nodes"])
 
-    return rows.mapInArrow(work, f"`{field.name}` {field.dataType.simpleString()}, text string, kept_nodes int, all_nodes int")
+    return rows.mapInArrow(frugal(work), f"`{field.name}` {field.dataType.simpleString()}, text string, kept_nodes int, all_nodes int")

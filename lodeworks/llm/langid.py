@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
-from lodeworks.llm.textbytes import CHUNK, chunks, lowered, text_column
+from lodeworks.llm.textbytes import CHUNK, chunks, frugal, lowered, text_column
 
 DIM = 1024
 SYMBOLS = 128
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     found: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(sums, "lang string, v array<double>").toLocalIterator():
+    for r in rows.mapInArrow(frugal(sums), "lang string, v array<double>").toLocalIterator():
         found[r[0]] = found.get(r[0], 0) + np.array(r[1])
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if np.linalg.norm(v) > 0}
 
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(cos, mask=np.isnan(cos)), pa.array(margin, mask=np.isnan(margin))], [field.name, "lang_id", "cosine", "margin"])
 
     out = f"`{field.name}` {field.dataType.simpleString()}, {OUT}"
-    return rows.mapInArrow(score, out)
+    return rows.mapInArrow(frugal(score), out)
 
 
 def detect(docs: DataFrame, **columns) -> DataFrame:

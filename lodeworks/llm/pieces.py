@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
-from lodeworks.llm.textbytes import Roller, mix
+from lodeworks.llm.textbytes import Roller, frugal, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -527,7 +527,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], ids, pa.array(np.maximum(n, 0).astype(np.int32), mask=gone), pa.array(exact)], [*names, "ids", "n_ids", "exact"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(work, f"{out}, ids array<int>, n_ids int, exact boolean")
+    return rows.mapInArrow(frugal(work), f"{out}, ids array<int>, n_ids int, exact boolean")
 
 
 def detokenize(rows: DataFrame, model_path: str = MODEL, ids: str = "ids", output: str = "text") -> DataFrame:
@@ -544,4 +544,4 @@ def detokenize(rows: DataFrame, model_path: str = MODEL, ids: str = "ids", outpu
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, output])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{out}, `{output}` string")
+    return rows.mapInArrow(frugal(work), f"{out}, `{output}` string")

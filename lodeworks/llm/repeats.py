@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.llm.common import free, grown, landed, make_room
-from lodeworks.llm.textbytes import Roller, chunks, text_column, words
+from lodeworks.llm.textbytes import Roller, chunks, frugal, text_column, words
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 16
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 NO_ID = -(1 << 63)
 WORD_ROLL, GRAM_ROLL = Roller(seed=21), Roller(seed=22)
 
@@ -251,7 +251,7 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
             yield from out
 
     schema = "k bigint, th bigint, n int, hs array<bigint>, ps array<int>"
-    anchored = landed(doc_side.where("text is not null").mapInArrow(anchor, schema), "anchors")
+    anchored = landed(doc_side.where("text is not null").mapInArrow(frugal(anchor), schema), "anchors")
 
     # whole copies: every window of theirs occurs in the copy with the least key
     copies = anchored.groupBy("th").agg(F.min("k").alias("head"), F.max("k").alias("last")).where("last > head").select(F.col("th").alias("th2"), "head")
@@ -287,7 +287,7 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
                 idx = np.arange(int(off32[-1])) + np.repeat(first[doc] + lo - off32[:-1], size)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k[a:b][doc]), pa.array(th[a:b][doc]), pa.array(lo.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off32), pa.array(code[idx]))], ["h", "k", "th", "lo", "w"])
 
-    around = near.mapInArrow(surroundings, "h bigint, k bigint, th bigint, lo int, w array<int>").repartition(shards, "h")
+    around = near.mapInArrow(frugal(surroundings), "h bigint, k bigint, th bigint, lo int, w array<int>").repartition(shards, "h")
 
     def search(batches):
         h, k, th, lo, pieces = [], [], [], [], []
@@ -322,7 +322,7 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
                     yield pa.RecordBatch.from_arrays([pa.array(docs_.f0[rd]), pa.array(docs_.f1[rd]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(rd), flag))], ["k", "th", "lo", "hi", "head"])
 
     runs_schema = "k bigint, th bigint, lo int, hi int, head boolean"
-    found = around.mapInArrow(search, runs_schema).unionByName(whole)
+    found = around.mapInArrow(frugal(search), runs_schema).unionByName(whole)
     per_doc = found.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi", "head")).alias("r"))
 
     def settle(batches):
@@ -337,7 +337,7 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
                         ks.append(k), ts.append(th), a.append(x), b.append(y), f.append(flag)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ts, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(f, pa.bool_())], ["k", "th", "start_word", "end_word", "first"])
 
-    return per_doc.mapInArrow(settle, "k bigint, th bigint, start_word int, end_word int, first boolean")
+    return per_doc.mapInArrow(frugal(settle), "k bigint, th bigint, start_word int, end_word int, first boolean")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -384,4 +384,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int
             out = pa.RecordBatch.from_arrays(cols, names)
             yield out.filter(pa.array([bool(x) for x in new]))
 
-    return calm.unionByName(hit.mapInArrow(shorten, T.StructType(docs.schema.fields)))
+    return calm.unionByName(hit.mapInArrow(frugal(shorten), T.StructType(docs.schema.fields)))

@@ -6,10 +6,14 @@ one byte array with offsets, in chunks of bounded size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -42,25 +46,47 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+def _scale(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """r**i and r**-i for i < n; a process keeps one pair of tables, of a chunk's size."""
+    kept = sys.__dict__.setdefault("_lodeworks_powers", [])
+    if not kept:
+        kept[:] = powers(CHUNK + 1, _R), powers(CHUNK + 1, pow(_R, -1, 1 << 64))
+    if n <= CHUNK + 1:
+        return kept[0], kept[1]
+    return powers(n, _R), powers(n, pow(_R, -1, 1 << 64))
+
+
+def frugal(work):
+    """A function over a partition's batches that gives its memory back at the end:
+    workers live on and wait for their next task."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 class Roller:
     """Sums of key[byte] * r**i, from which the hash of any span comes in O(1)."""
 
     def __init__(self, seed: int = 1) -> None:
         self.keys = byte_keys(seed)
-        self.up = self.down = np.ones(0, dtype=U)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, CHUNK + 1)
-            self.up, self.down = powers(n, _R), powers(n, pow(_R, -1, 1 << 64))
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, premul: np.ndarray | None = None) -> np.ndarray:
         """The hash of data[start:end] for each span; data holds bytes, or 64-bit symbols as premul."""
         n = len(data) if premul is None else len(premul)
-        self._grow(n + 1)
+        up, down = _scale(n + 1)
         total = np.zeros(n + 1, dtype=U)
-        np.cumsum((self.keys[data] if premul is None else premul) * self.up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start])
+        np.cumsum((self.keys[data] if premul is None else premul) * up[:n], out=total[1:])
+        return mix((total[end] - total[start]) * down[start])
 
 
 def text_column(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:

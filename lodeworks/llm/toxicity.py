@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
-from lodeworks.llm.textbytes import Roller, chunks, terms, text_column
+from lodeworks.llm.textbytes import Roller, chunks, frugal, terms, text_column
 
 BUCKET_BITS = 20
 PREFIX_BYTES = 5
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, key: s
                 out += [(pair[x:y] & ((1 << BUCKET_BITS) - 1)).astype(np.int32) for x, y in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("y"), pa.array(out, pa.list_(pa.int32()))], ["k", "y", "f"])
 
-    got = rows.mapInArrow(features, "k string, y int, f array<int>").toArrow()
+    got = rows.mapInArrow(frugal(features), "k string, y int, f array<int>").toArrow()
     order = np.argsort(np.array(got["k"].to_pylist(), dtype=str), kind="stable")
     lists = got["f"].combine_chunks()
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -187,4 +187,4 @@ def rate(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= machine.cut) & some)], [*names, "score", "toxic"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(score, f"{out}, {OUT}")
+    return docs.mapInArrow(frugal(score), f"{out}, {OUT}")
