@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from lodeworks.llm.common import landed
 from lodeworks.llm.components import components, union_find
 from lodeworks.llm.topk import vectors
+from lodeworks.llm.textbytes import frugal
 
 PRODUCTION = dict(threshold=0.95, caps=12, cap_rows=64, seed=17)
 NO_ID = -(1 << 63)
+LEAST = 4
 
 
 class ProductCode:
@@ -45,8 +47,8 @@ class ProductCode:
         """(row, direction) for every direction whose product with the row reaches alpha.
 
         Block by block: a prefix of words lives on only if the best words of the
-        remaining blocks could still lift it to alpha. A row that reaches alpha
-        nowhere gets its best direction.
+        remaining blocks could still lift it to alpha. A row that reaches alpha in
+        fewer than LEAST directions gets its LEAST best ones.
         """
         x = unit @ self.turn
         score = [x[:, a:b] @ c.T for (a, b), c in zip(zip(self.cuts[:-1], self.cuts[1:]), self.code)]
@@ -55,13 +57,30 @@ class ProductCode:
         for i in range(self.blocks - 1, -1, -1):
             rest[i] = rest[i + 1] + best[i]
         row, direction, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-        need = np.minimum(self.alpha, rest[0]) - 1e-12
+        need = np.full(len(x), self.alpha - 1e-12)
         for i, s in enumerate(score):
             keep = total[:, None] + s[row] + rest[i + 1][row][:, None] >= need[row][:, None]
             r, w = np.nonzero(keep)
             total, direction, row = total[r] + s[row[r], w], direction[r] * self.words + w, row[r]
+        few = np.flatnonzero(np.bincount(row, minlength=len(x)) < LEAST)
+        if len(few):
+            keep = ~np.isin(row, few)
+            at, best_d = self._best(few, score)
+            row, direction = np.concatenate([row[keep], at]), np.concatenate([direction[keep], best_d])
         return row, direction
 
+    def _best(self, rows: np.ndarray, score: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The LEAST best directions of some rows: the best sums of blocks come from the best of each block."""
+        total, direction = np.zeros((len(rows), 1)), np.zeros((len(rows), 1), np.int64)
+        for s in score:
+            n = min(LEAST, self.words)
+            w = np.argsort(-s[rows], axis=1, kind="stable")[:, :n]
+            total = (total[:, :, None] + np.take_along_axis(s[rows], w, 1)[:, None, :]).reshape(len(rows), -1)
+            direction = (direction[:, :, None] * self.words + w[:, None, :]).reshape(len(rows), -1)
+            top = np.argsort(-total, axis=1, kind="stable")[:, :LEAST]
+            total, direction = np.take_along_axis(total, top, 1), np.take_along_axis(direction, top, 1)
+        return np.repeat(rows, direction.shape[1]), direction.ravel()
+
 
 def edges_of(names: np.ndarray, unit: np.ndarray, threshold: float) -> np.ndarray:
     """A spanning forest (a, b) of a cap's pairs with cosine at or above threshold.
@@ -134,7 +153,7 @@ def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int,
                 off = np.arange(len(row) + 1, dtype=np.int32) * dim
                 yield pa.RecordBatch.from_arrays([pa.array(direction), pa.array(part.column("node").to_numpy()[row]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cap", "node", "u"])
 
-    met = nodes.select("node", "v").mapInArrow(filters, "cap bigint, node bigint, u array<float>").repartition("cap").sortWithinPartitions("cap")
+    met = nodes.select("node", "v").mapInArrow(frugal(filters), "cap bigint, node bigint, u array<float>").repartition("cap").sortWithinPartitions("cap")
 
     def verify(batches):
         held: list[pa.Table] = []
@@ -160,4 +179,4 @@ def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int,
         if held and (out := settle()) is not None:
             yield out
 
-    return met.mapInArrow(verify, "a bigint, b bigint")
+    return met.mapInArrow(frugal(verify), "a bigint, b bigint")

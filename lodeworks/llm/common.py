@@ -39,15 +39,23 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage (a lost executor costs nothing that came before), and
     the file sizes tell Catalyst whether a later join may broadcast the table:
-    under spark.sql.autoBroadcastJoinThreshold it does, beyond it shuffles.
+    under spark.sql.autoBroadcastJoinThreshold it does, beyond it shuffles. The
+    table goes with the application, or earlier by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _PATHS.append((spark, path))
+    at, fs = _file(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 _PATHS: list = []
 
 
@@ -67,8 +75,8 @@ def release(since: int, until: int) -> None:
     """Delete the tables that landed() wrote between two marks; call it when nothing reads them any more."""
     for i in range(since, until):
         spark, path = _PATHS[i]
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _file(spark, path)
+        fs.delete(at, True)
 
 
 def free(names: Iterable[str], wanted: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,7 +124,7 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
     keys = [n["domain"], n["lang"], n["source"]]
     slim = landed(base.select(*[F.col(c).alias(a) for a, c in (("domain", keys[0]), ("lang", keys[1]), ("source", keys[2]), ("tokens", n["tokens"]), ("doc", n["doc"]))]), "tokens")
     leaves = landed(slim.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens")), "leaves")
-    view = "lodeworks_leaves"
+    view = f"lodeworks_leaves_{uuid.uuid4().hex}"
     leaves.createOrReplaceTempView(view)
     share = int(round(p["budget_share"] * 1_000_000))
     total = f"(select cast(coalesce(sum(cast(tokens as decimal(38,0)) * {share}), 0) div 1000000 as bigint) from {view})"

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import landed
+from lodeworks.llm.textbytes import frugal
 
 PRODUCTION = dict(k=10, block=4096, axes=24)
 SLACK = 2e-6
@@ -44,7 +46,7 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
 
     total = np.zeros(dim * dim)
-    for r in rows.select("v").mapInArrow(outer, "g array<double>").toLocalIterator():
+    for r in rows.select("v").mapInArrow(frugal(outer), "g array<double>").toLocalIterator():
         total += np.array(r[0])
     _, axes = np.linalg.eigh(total.reshape(dim, dim))
     return axes[:, ::-1].copy()
@@ -142,10 +144,15 @@ def _one_dim(rows: DataFrame, dim: int, k: int, block: int, axes: int) -> DataFr
         held: list[pa.RecordBatch] = []
         count = 0
 
+        done = 0
+
         def block_of(t: pa.Table):
+            nonlocal done
             v = vectors(t.combine_chunks().to_batches()[0], "v", dim)
             top = float(np.linalg.norm(v.astype(np.float64), axis=1).max())
-            return pa.RecordBatch.from_arrays([pa.array([top]), pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["top", "ids", "vs"])
+            uid = (TaskContext.get().partitionId() << 32) + done
+            done += 1
+            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([top]), pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["uid", "top", "ids", "vs"])
 
         for batch in batches:
             held.append(batch)
@@ -159,13 +166,12 @@ def _one_dim(rows: DataFrame, dim: int, k: int, block: int, axes: int) -> DataFr
             yield block_of(pa.Table.from_batches(held))
 
     sorted_rows = rows.withColumn("l", length).sort(F.desc("l"), "id").select("id", "v")
-    packed = landed(sorted_rows.mapInArrow(pack, "top double, ids binary, vs binary"), "blocks")
-    # blocks in descending length of their longest vector: a number for each, from tops and ids alone
-    numbered = landed(packed.select("top", F.xxhash64("ids").alias("h")).distinct(), "tops")
-    order = {(r[0], r[1]): i for i, r in enumerate(numbered.sort(F.desc("top"), "h").toLocalIterator())}
+    packed = landed(sorted_rows.mapInArrow(frugal(pack), "uid bigint, top double, ids binary, vs binary"), "blocks")
+    # blocks by descending length of their longest vector; the driver sees one line for each block
+    order = [r[0] for r in packed.select("uid", "top").sort(F.desc("top"), "uid").toLocalIterator()]
     n = len(order)
-    names = table_of(rows.sparkSession, [(t, h, i) for (t, h), i in order.items()])
-    blocks = landed(packed.withColumn("h", F.xxhash64("ids")).join(names, ["top", "h"]).select("no", "top", "ids", "vs"), "numbered")
+    names = rows.sparkSession.createDataFrame([(u, i) for i, u in enumerate(order)], "uid bigint, no int")
+    blocks = landed(packed.join(names, "uid").select("no", "top", "ids", "vs"), "numbered")
     # item blocks go to every query block; a query block also gets itself, first of all
     sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("at"), F.col("no"), "top", "ids", "vs").unionByName(blocks.select(F.col("no").alias("at"), F.lit(-1).alias("no"), "top", "ids", "vs"))
     sent = sent.repartitionById(max(n, 1), F.col("at")).sortWithinPartitions("at", "no")
@@ -191,11 +197,7 @@ def _one_dim(rows: DataFrame, dim: int, k: int, block: int, axes: int) -> DataFr
         r, c = np.nonzero(ok)
         return pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array((c + 1).astype(np.int32)), pa.array(best.id[r, c]), pa.array(best.score[r, c])], ["vec_id", "rank", "neighbor_id", "score"])
 
-    return sent.mapInArrow(search, "vec_id bigint, rank int, neighbor_id bigint, score double")
-
-
-def table_of(spark, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "top double, h bigint, no int")
+    return sent.mapInArrow(frugal(search), "vec_id bigint, rank int, neighbor_id bigint, score double")
 
 
 def topk_sql(k: int) -> str:
