@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 MISS, START, OUT_OF_VOCABULARY = -9, -3, -2
 _ROLL = Roller(seed=41)
-CACHE = 160_000
+CACHE = 320_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -157,7 +157,6 @@ class Model:
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{own}]+|{SPACE}*[{own}]+|{SPACE}+" if own else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known = Table()
         self._tables: Table | None = None
-        self.same = list(range(len(self.pieces)))
         self.trie = {p[:i]: -1 for p in self.index for i in range(1, len(p))}
         self.trie.update(self.index)
 
@@ -187,9 +186,12 @@ class Model:
         if known is None:
             if len(self.apart) >= 4 * CACHE:
                 self.apart.clear()
-            known = self.apart[pair] = self.merged(left + right) == [left, right]
+            known = self.apart[pair] = self._apart(left, right)
         return known
 
+    def _apart(self, left: str, right: str) -> bool:
+        return left + right not in self.index and self.merged(left + right) == [left, right]
+
     def normalized(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -298,10 +300,10 @@ class Model:
                     total[one], cell[one], ids[one] = gain if unigram else 0.0, (gain, text[start], start), -1
         return self._path(cell, n)
 
-    def windows(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """The ids of many short texts: window() and ids_of(), for all of them at a time."""
+    def windows(self, texts: list[str]) -> list[bytes]:
+        """The ids (packed, 32 bits each) of many short texts: window(), for all of them at a time."""
         if self.type != BPE or not texts:
-            return [self.ids_of(self.window(t)) for t in texts]
+            return [self.packed(self.window(t)) for t in texts]
         if self._tables is None:
             names = list(self.trie)
             flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -351,7 +353,7 @@ class Model:
                     fresh = np.unique(pair[new])
                     if self.known.count > 1_000_000:
                         self.known = Table()
-                    answer = [self.merged(self.pieces[int(x) >> 32] + self.pieces[int(x) & 0xFFFFFFFF]) == [self.pieces[int(x) >> 32], self.pieces[int(x) & 0xFFFFFFFF]] for x in fresh - np.uint64(1)]
+                    answer = [self._apart(self.pieces[x >> 32], self.pieces[x & 0xFFFFFFFF]) for x in (fresh - np.uint64(1)).tolist()]
                     unseen = self.known.get(fresh) == MISS
                     self.known.put(fresh[unseen], np.array(answer, dtype=np.int32)[unseen])
                     said = self.known.get(pair)
@@ -371,17 +373,17 @@ class Model:
         row, piece = np.concatenate(rows), np.concatenate(steps)
         by = np.argsort(row[::-1], kind="stable")
         row, piece = row[::-1][by], piece[::-1][by]
-        same = self.same
-        flat = [same[x] if x >= 0 else x for x in piece.tolist()]
-        to = np.searchsorted(row, np.arange(1, len(texts) + 1)).tolist()
-        out, a = [], 0
-        for b in to:
-            out.append(tuple(flat[a:b]))
-            a = b
+        raw = piece.astype(np.int32).tobytes()
+        to = (4 * np.searchsorted(row, np.arange(len(texts) + 1))).tolist()
+        out = [raw[x:y] for x, y in zip(to, to[1:])]
         for i in set(row[piece < 0].tolist()):
-            out[i] = self.ids_of(self.pieces[x] if x >= 0 else chr(OUT_OF_VOCABULARY - x) for x in out[i])
+            path = piece[to[i] // 4 : to[i + 1] // 4].tolist()
+            out[i] = self.packed(self.pieces[x] if x >= 0 else chr(OUT_OF_VOCABULARY - x) for x in path)
         return out
 
+    def packed(self, path: Iterable[str]) -> bytes:
+        return array("i", self.ids_of(path)).tobytes()
+
     def ids_of(self, pieces: Iterable[str]) -> tuple[int, ...]:
         out: list[int] = []
         for p in pieces:
@@ -410,33 +412,29 @@ class Model:
                     cache[seg] = ids
         cache.update(zip(todo, self.windows(todo)))
 
-    def encode_segments(self, segments: list[str], cache: dict) -> list[int]:
+    def encode_segments(self, segments: list[str], cache: dict) -> bytes:
         try:
-            return list(chain.from_iterable(map(cache.__getitem__, segments)))
+            return b"".join(map(cache.__getitem__, segments))
         except KeyError:
-            out: list[int] = []
-            for seg in segments:
-                ids = cache.get(seg)
-                if ids is None:
-                    ids = self.ids_of(self.stream(seg) if len(seg) > 4 * self.longest else self.window(seg))
-                out += ids
-            return out
+            return b"".join([ids if (ids := cache.get(s)) is not None else self.packed(self.stream(s) if len(s) > 4 * self.longest else self.window(s)) for s in segments])
 
-    def encode(self, text: str, cache: dict | None = None) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         """The ids of a text. No piece has a space mark after another character,
         so all paths converge before each run of space marks, and around runs of
-        punctuation that no piece joins with letters: segments between such boundaries are independent, and cache may hold some of them."""
+        punctuation that no piece joins with letters: segments between such
+        boundaries are independent."""
         norm = self.normalized(text)
         if self.inner_space:
             return list(self.ids_of(self.stream(norm)))
-        out = self.encode_segments(self.segments(norm), {} if cache is None else cache)
-        return self.joined(out)
+        return np.frombuffer(self.joined(self.encode_segments(self.segments(norm), {})), np.int32).tolist()
 
-    def joined(self, ids: list[int]) -> list[int]:
+    def joined(self, raw: bytes) -> bytes:
         """Without byte pieces, unknown characters in a row are one unknown id."""
-        if self.byte_fallback:
-            return ids
-        return [x for i, x in enumerate(ids) if x != self.unk or i == 0 or ids[i - 1] != self.unk]
+        if self.byte_fallback or not raw:
+            return raw
+        ids = np.frombuffer(raw, np.int32)
+        twice = (ids == self.unk) & np.append(False, ids[:-1] == self.unk)
+        return ids[~twice].tobytes()
 
     def decoder(self) -> list[bytes]:
         """The bytes of each id; control pieces are empty."""
@@ -494,7 +492,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep:
                     chars += len(texts[to] or "")
                     to += 1
                 if model.inner_space:
-                    yield from (t if t is None else model.encode(t) for t in texts[at:to])
+                    yield from (t if t is None else array("i", model.encode(t)).tobytes() for t in texts[at:to])
                 else:
                     split = [None if t is None else model.segments(model.normalized(t)) for t in texts[at:to]]
                     new = set()
@@ -510,19 +508,19 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep:
         for batch in batches:
             flat, size, exact = [], [], []
             texts = batch.column("_text").to_pylist()
-            for t, ids in zip(texts, encoded(texts)):
+            for t, raw in zip(texts, encoded(texts)):
                 if t is None:
                     size.append(-1)
                     exact.append(True)
                     continue
-                exact.append(model.decode(ids, table) == t)
-                size.append(len(ids))
-                flat.append(np.array(ids, dtype=np.int32))
+                exact.append(model.decode(np.frombuffer(raw, np.int32).tolist(), table) == t)
+                size.append(len(raw) // 4)
+                flat.append(raw)
             n = np.array(size, dtype=np.int64)
             off = np.zeros(len(n) + 1, dtype=np.int32)
             np.cumsum(np.maximum(n, 0), out=off[1:])
             gone = n < 0
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            values = pa.array(np.frombuffer(b"".join(flat), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(off), values, mask=pa.array(gone))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], ids, pa.array(np.maximum(n, 0).astype(np.int32), mask=gone), pa.array(exact)], [*names, "ids", "n_ids", "exact"])
 
