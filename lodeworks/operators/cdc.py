@@ -106,18 +106,30 @@ class Collapsed:
     truncated: DataFrame
     pk: tuple[str, ...]
     columns: tuple[str, ...]
+    holes: bool = True
 
 
-def collapse(events: DataFrame, pk: Sequence[str]) -> Collapsed:
+def unmasked(ops: DataFrame, column: str) -> DataFrame:
+    """ops, of which none may have masked cells: such a row raises."""
+    checked = F.when(F.size("masked") > 0, F.raise_error(F.lit("a masked cell in a log that was said to have none")).cast("string")).otherwise(F.col(column))
+    return ops.withColumn(column, checked)
+
+
+def collapse(events: DataFrame, pk: Sequence[str], masks: bool = True) -> Collapsed:
     """Fold a window to one state for each key: the last write wins, a delete
     stays one even if the window made the row, a masked cell takes the last value
     that the window has for it after the key's last delete, else stays a hole.
 
     Partial aggregates do the folding. Only keys that a row with masked cells
-    moved from or to go through an ordered fold in Python.
+    moved from or to go through an ordered fold in Python. masks=False is for a
+    log whose rows are always whole: one aggregate is then the whole plan.
     """
     columns = tuple(f.name for f in events.schema["after"].dataType)
     ops = keyed(events, pk)
+    if not masks:
+        last = unmasked(ops, "kind").groupBy("key").agg(F.max_by(F.struct("kind", "row"), "at").alias("last"))
+        states = last.select("key", F.col("last.kind").alias("op"), F.col("last.row").alias("row"), F.array().cast("array<string>").alias("holes"), F.col("key").alias("origin"))
+        return Collapsed(states, horizon(events).select(F.col("cut").isNotNull().alias("flag")), tuple(pk), columns, holes=False)
     moves = ops.where("kind = 'R'")
     touched = moves.select("key").unionByName(moves.select(F.col("origin").alias("key"))).distinct()
     plain = ops.join(touched, "key", "left_anti").where("kind <> 'R'").select(ops.columns)
@@ -171,6 +183,8 @@ def _fold_moves(ops: DataFrame, schema: StructType, columns: tuple[str, ...], pk
 def _filled(target: DataFrame, c: Collapsed) -> DataFrame:
     """The upserts as table rows, their holes taken from the row the target has at origin."""
     rows = c.states.where("op = 'U'")
+    if not c.holes:
+        return rows.select("row.*")
     whole = rows.where(F.size("holes") == 0).select("row.*")
     open_ = rows.where(F.size("holes") > 0)
     held = target.select(F.struct(*[F.col(f"`{k}`").alias(k) for k in c.pk]).alias("origin"), F.struct(*[F.col(f"`{n}`").alias(n) for n in c.columns]).alias("held"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.errors import InvalidInput
-from lodeworks.operators.cdc import OPS, ORDER
+from lodeworks.operators.cdc import OPS, ORDER, unmasked
 
 META = ("_op", "_lsn", "_seq", "_at")
 
@@ -41,7 +41,7 @@ def baseline(rows: DataFrame, lsn: int, at: Column | None = None) -> DataFrame:
     return rows.select(F.lit("B").alias("_op"), F.lit(lsn).cast("bigint").alias("_lsn"), F.lit(0).cast("bigint").alias("_seq"), (F.current_timestamp() if at is None else at).alias("_at"), *[F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
-def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, current: DataFrame | None = None) -> DataFrame:
+def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, current: DataFrame | None = None, masks: bool = True) -> DataFrame:
     """All events of a window in order: op, lsn, seq, landing time and the row.
 
     A change of key is D of the old and U of the new one; a truncate is one T
@@ -49,7 +49,7 @@ def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, curr
     (often just the key). lsn is the commit's, seq counts within the commit, so
     a replay gives the same rows. Masked cells take the last value in the window
     (of the new key, else of the old one), else that of the current view, else
-    the change is torn and raises.
+    the change is torn and raises. masks=False is for a log whose rows are whole.
     """
     columns = [f.name for f in events.schema["after"].dataType]
     check_names(columns)
@@ -72,7 +72,9 @@ def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, curr
     seq = F.row_number().over(W.partitionBy("commit_lsn").orderBy("seq", "part")).cast("bigint")
     flat = flat.withColumn("n", seq)
     fill = [F.col(f"row.`{c}`").alias(c) for c in columns]
-    if "masked" in events.columns:
+    if not masks:
+        flat = unmasked(flat, "op")
+    elif "masked" in events.columns:
         flat, fill = _resolved(flat, columns, pk, current)
     return flat.select(F.col("op").alias("_op"), F.col("commit_lsn").alias("_lsn"), F.col("n").alias("_seq"), (F.current_timestamp() if at is None else at).alias("_at"), *fill)
 

@@ -39,7 +39,7 @@ def target(spark, sf_dir, every: bool = False):
 
 @add(f"with {LOG_SQL} select user_id, op, case when op = 'U' then value end as value from log qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def collapse_last_write(spark, sf_dir):
-    c = cdc.collapse(log(spark, sf_dir), ["user_id"])
+    c = cdc.collapse(log(spark, sf_dir), ["user_id"], masks=False)
     return c.states.select("key.user_id", "op", F.col("row.value").alias("value"))
 
 
@@ -49,12 +49,12 @@ select user_id, value, event_type from fin where op = 'U' union all select * fro
 
 @add(APPLIED)
 def delete_insert_apply(spark, sf_dir):
-    return cdc.apply_delete_insert(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir), ["user_id"]))
+    return cdc.apply_delete_insert(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir), ["user_id"], masks=False))
 
 
 @add(APPLIED)
 def merge_apply(spark, sf_dir):
-    return cdc.apply_merge(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir), ["user_id"]))
+    return cdc.apply_merge(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir), ["user_id"], masks=False))
 
 
 MASKED_SQL = f"""with {LOG_SQL}, d as (select user_id, max(event_id) as died from log where op = 'D' group by 1),
@@ -72,7 +72,7 @@ def masked_update(spark, sf_dir):
 @add(f"""with {LOG_SQL}, fin as (select * from log where event_id > 400 qualify row_number() over (partition by user_id order by event_id desc) = 1)
 select user_id, value, event_type from fin where op = 'U'""")
 def truncate_window(spark, sf_dir):
-    return cdc.apply_delete_insert(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir, truncate_at=400), ["user_id"]))
+    return cdc.apply_delete_insert(target(spark, sf_dir), cdc.collapse(log(spark, sf_dir, truncate_at=400), ["user_id"], masks=False))
 
 
 def _moving(spark, sf_dir):
@@ -87,7 +87,7 @@ def _moving(spark, sf_dir):
 select 'D' as _op, event_id as _lsn, 1::bigint as _seq, user_id, value, event_type from e where moved
 union all select 'U', event_id, case when moved then 2 else 1 end::bigint, user_id + case when moved then 1000000 + event_id else 0 end, value, event_type from e""")
 def changelog_capture(spark, sf_dir):
-    return changelog.capture(_moving(spark, sf_dir), ["user_id"]).drop("_at")
+    return changelog.capture(_moving(spark, sf_dir), ["user_id"], masks=False).drop("_at")
 
 
 @add("""with e as (select event_id, user_id, value, event_type, event_id % 9 = 0 as moved from events where event_id <= 900),
@@ -98,14 +98,14 @@ select user_id, value, event_type from f where op = 'U'""")
 def key_change_apply(spark, sf_dir):
     """An update that changes the key deletes the old row."""
     empty = spark.createDataFrame([], "user_id bigint, value double, event_type string")
-    return cdc.apply_merge(empty, cdc.collapse(_moving(spark, sf_dir), ["user_id"]))
+    return cdc.apply_merge(empty, cdc.collapse(_moving(spark, sf_dir), ["user_id"], masks=False))
 
 
 @add(f"""with {LOG_SQL}, x as (select *, row_number() over (partition by user_id order by event_id desc) as n from log where event_id > 300)
 select user_id, value, event_type from x where n = 1 and op = 'U'""")
 def changelog_current(spark, sf_dir):
     """The current view over a captured log with a truncate in it, landed twice."""
-    rows = changelog.capture(log(spark, sf_dir, truncate_at=300), ["user_id"])
+    rows = changelog.capture(log(spark, sf_dir, truncate_at=300), ["user_id"], masks=False)
     return changelog.current_view(rows.unionByName(rows), ["user_id"])
 
 

@@ -94,15 +94,15 @@ def apply_window(table: LakeTable, events: DataFrame, source: str, pk: list[str]
     after = int(v.state[source]["watermark"])
     events = _window(events, after).persist()
     try:
-        top, count = events.agg(F.max("commit_lsn"), F.count(F.lit(1))).first()
+        top, count, holes = events.agg(F.max("commit_lsn"), F.count(F.lit(1)), F.count_if(F.size("masked") > 0)).first()
         extra = {"batch": batch, "batch_no": batch.rpartition(":")[2], "query": batch.rpartition(":")[0]}
         if not count:
             return 0
         if log:
-            rows = changelog.capture(events, pk, current=changelog.current_view(table.frame(v), pk))
+            rows = changelog.capture(events, pk, current=changelog.current_view(table.frame(v), pk) if holes else None, masks=holes > 0)
             table.append(rows, source, "_lsn", extra=extra)
             return count
-        c = cdc.collapse(events, pk)
+        c = cdc.collapse(events, pk, masks=holes > 0)
         c.states = c.states.persist()
         try:
             wipe = bool(c.truncated.first()[0])

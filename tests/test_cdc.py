@@ -123,6 +123,18 @@ def test_random_windows(spark, seed):
     assert rows(once) == want
 
 
+def test_whole_rows_need_one_aggregate(spark):
+    rng = random.Random(11)
+    items = random_window(rng, [1, 2], 60, masks=False)
+    c = cdc.collapse(events(spark, items), PK, masks=False)
+    assert rows(cdc.apply_merge(table(spark, BASE), c)) == rows(cdc.apply_delete_insert(table(spark, BASE), c)) == replay(BASE, items)
+    log = changelog.baseline(table(spark, BASE), 0).unionByName(changelog.capture(events(spark, items), PK, masks=False))
+    assert rows(changelog.current_view(log, PK)) == replay(BASE, items)
+    for bad in (lambda e: cdc.collapse(e, PK, masks=False).states, lambda e: changelog.capture(e, PK, masks=False)):
+        with pytest.raises(Exception, match="masked cell"):
+            bad(events(spark, CASES["masked cell"])).collect()
+
+
 def test_reapplying_changes_nothing(spark):
     items = random_window(random.Random(5), [1, 2], 30, masks=False, moves=False)
     c = cdc.collapse(events(spark, items), PK)
