@@ -24,12 +24,18 @@ from lodeworks.llm.textbytes import frugal
 PRODUCTION = dict(threshold=0.95, caps=12, cap_rows=64, seed=17)
 NO_ID = -(1 << 63)
 LEAST = 4
+RECALL = 0.96
 
 
 class ProductCode:
-    """directions = words ** blocks unit vectors, of which a vector exceeds about `caps`."""
+    """directions = words ** blocks unit vectors, of which a vector exceeds about `caps`, and `least` at least.
 
-    def __init__(self, dim: int, rows: int, caps: int, cap_rows: int, seed: int) -> None:
+    alpha and least are set by decoding random pairs at the threshold: sums of
+    block products have lighter tails than the normal, and what two vectors
+    need to meet grows with the number of directions.
+    """
+
+    def __init__(self, dim: int, rows: int, caps: int, cap_rows: int, seed: int, threshold: float = 0.95) -> None:
         wanted = max(64.0, rows * caps / cap_rows)
         self.blocks = min(max(1, dim // 4), max(2, int(np.ceil(np.log(wanted) / np.log(256))))) if dim > 1 else 1
         self.words = max(2, int(round(wanted ** (1 / self.blocks))))
@@ -42,13 +48,37 @@ class ProductCode:
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.blocks))
         share = min(0.5, caps / self.words**self.blocks)
         self.alpha = NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
+        self.least = LEAST
+        if dim > 1:
+            self._tune(rng, dim, caps, min(max(threshold, -1.0), 1.0))
+
+    def _tune(self, rng: np.random.Generator, dim: int, caps: int, cosine: float, pairs: int = 2000) -> None:
+        """Lower alpha until a vector exceeds `caps` directions on average, then raise
+        least until RECALL of the pairs at this cosine share one.
+
+        The axes are turned at random, so any pair of a table does as a random one.
+        """
+        x, y = rng.normal(size=(2, pairs, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        every = self.words**self.blocks
+
+        def marks(unit: np.ndarray) -> np.ndarray:
+            parts = [(lo, *self.decode(unit[lo : lo + 250])) for lo in range(0, pairs, 250)]
+            return np.concatenate([(row + lo) * every + direction for lo, row, direction in parts])
+
+        while self.alpha > 0 and len(marks(x)) < min(caps, every / 2) * pairs:
+            self.alpha -= 0.01 / np.sqrt(dim)
+        while self.least < every and len(np.unique(np.intersect1d(marks(x), marks(y)) // every)) < RECALL * pairs:
+            self.least = min(every, self.least + max(1, self.least // 4))
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, direction) for every direction whose product with the row reaches alpha.
 
         Block by block: a prefix of words lives on only if the best words of the
         remaining blocks could still lift it to alpha. A row that reaches alpha in
-        fewer than LEAST directions gets its LEAST best ones.
+        fewer than `least` directions gets its `least` best ones.
         """
         x = unit @ self.turn
         score = [x[:, a:b] @ c.T for (a, b), c in zip(zip(self.cuts[:-1], self.cuts[1:]), self.code)]
@@ -62,7 +92,7 @@ class ProductCode:
             keep = total[:, None] + s[row] + rest[i + 1][row][:, None] >= need[row][:, None]
             r, w = np.nonzero(keep)
             total, direction, row = total[r] + s[row[r], w], direction[r] * self.words + w, row[r]
-        few = np.flatnonzero(np.bincount(row, minlength=len(x)) < LEAST)
+        few = np.flatnonzero(np.bincount(row, minlength=len(x)) < self.least)
         if len(few):
             keep = ~np.isin(row, few)
             at, best_d = self._best(few, score)
@@ -70,14 +100,18 @@ class ProductCode:
         return row, direction
 
     def _best(self, rows: np.ndarray, score: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The LEAST best directions of some rows: the best sums of blocks come from the best of each block."""
+        """The `least` best directions of some rows.
+
+        The best sums come from the best of each block: the i-th best prefix with
+        the j-th best word has i * j - 1 others above it.
+        """
         total, direction = np.zeros((len(rows), 1)), np.zeros((len(rows), 1), np.int64)
         for s in score:
-            n = min(LEAST, self.words)
-            w = np.argsort(-s[rows], axis=1, kind="stable")[:, :n]
-            total = (total[:, :, None] + np.take_along_axis(s[rows], w, 1)[:, None, :]).reshape(len(rows), -1)
-            direction = (direction[:, :, None] * self.words + w[:, None, :]).reshape(len(rows), -1)
-            top = np.argsort(-total, axis=1, kind="stable")[:, :LEAST]
+            w = np.argsort(-s[rows], axis=1, kind="stable")[:, : self.least]
+            i, j = np.nonzero(np.outer(np.arange(1, total.shape[1] + 1), np.arange(1, w.shape[1] + 1)) <= self.least)
+            total = total[:, i] + np.take_along_axis(s[rows], w, 1)[:, j]
+            direction = direction[:, i] * self.words + w[:, j]
+            top = np.argsort(-total, axis=1, kind="stable")[:, : self.least]
             total, direction = np.take_along_axis(total, top, 1), np.take_along_axis(direction, top, 1)
         return np.repeat(rows, direction.shape[1]), direction.ravel()
 
@@ -109,8 +143,10 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     """vec_id, keep_id: a row for each vector with a near duplicate of a smaller id;
     keep_id is the smallest of its group (connected components of cosine >= threshold).
 
-    caps: directions a vector exceeds, on average; cap_rows: mean vectors in a
-    cap, whatever the table's size: the number of directions grows with it.
+    caps: directions a vector exceeds, on average, or more if it takes more for
+    RECALL of the pairs at the threshold to meet; cap_rows: mean vectors in a
+    cap at `caps` directions a vector, whatever the table's size: the number of
+    directions grows with it.
     Vectors equal element by element are one node from the start. Every vector
     is searched, and all pairs in a cap are compared.
     Nulls: a null key sorts first, gives a null id, and null keys count as one
@@ -140,12 +176,13 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
 
 def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int, cap_rows: int, seed: int) -> DataFrame:
-    code = ProductCode(dim, count, caps, cap_rows, seed)
+    code = ProductCode(dim, count, caps, cap_rows, seed, threshold)
+    step = max(1, min(1024, (1 << 22) // (dim * max(code.least, caps))))
 
     def filters(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 x = vectors(part, "v", dim).astype(np.float64)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 row, direction = code.decode(unit)

@@ -106,3 +106,15 @@ def test_caps_edges(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, keep_id int")
     assert same(caps.near_duplicates(df)) == sorted([(2, 1), (3, 1), (9, None)], key=repr)
     assert caps.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 10_000_000, 100_000_000])
+def test_pairs_at_the_threshold_meet_at_any_row_count(rows):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    code = caps.ProductCode(64, rows, 12, 64, 17)
+    mine, other = ({(r, d) for r, d in zip(*code.decode(unit))} for unit in (x, y))
+    assert len({r for r, _ in mine & other}) / len(x) >= 0.93
