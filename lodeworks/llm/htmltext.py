@@ -24,7 +24,7 @@ SPREAD = 0.5
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)(?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>"
+    r"|<(/?)([a-z][a-z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
     r"|<(/?)([a-z][a-z0-9:-]*)[^>]*>"
     r"|<[!?/][^>]*>",
     re.S | re.I,

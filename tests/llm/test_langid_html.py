@@ -86,3 +86,11 @@ def test_html_edges(spark):
     assert by[1].text is None and by[1].all_nodes == 0 and by[2].text == "" and by[None].text == "just, this."
     assert by[13].text == "one, two.\nthree" or by[13].text == "one, two." and by[18].text.startswith("deep")
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes_are_no_text(quote):
+    data = "{a: 1, b>2. c; <p>d!</p>} " * 4000
+    body = "".join(f"<p>{PARA}</p>" for _ in range(40))
+    got, _, total = htmltext.main_text(f"<html><body><div data-props={quote}{data}{quote}></div><article>{body}</article></body></html>")
+    assert len(data) > 100_000 and total == 40 and got.split("\n") == [PARA] * 40
