@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -94,3 +96,98 @@ def test_long_attributes_are_no_text(quote):
     body = "".join(f"<p>{PARA}</p>" for _ in range(40))
     got, _, total = htmltext.main_text(f"<html><body><div data-props={quote}{data}{quote}></div><article>{body}</article></body></html>")
     assert len(data) > 100_000 and total == 40 and got.split("\n") == [PARA] * 40
+
+
+class Plain(HTMLParser):
+    """Text nodes of a well-nested page by a library's parser: text, path of tags, block."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.nodes, self.block = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.block += tag not in htmltext._INLINE or tag == "br"
+        if tag not in htmltext._VOID:
+            self.path.append(tag)
+
+    def handle_endtag(self, tag):
+        self.block += tag not in htmltext._INLINE
+        assert self.path.pop() == tag
+
+    def handle_data(self, data):
+        if data.strip():
+            self.nodes.append((" ".join(("_" + data + "_").split())[1:-1], "/".join(self.path), self.block))
+
+
+def plain_text(page):
+    """The whole extraction by plain loops."""
+    reader = Plain()
+    reader.feed(page)
+    nodes = reader.nodes
+    if not nodes:
+        return "", 0, 0
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    by = {}
+    for t, p, _ in nodes:
+        by.setdefault(p, []).append(t)
+    size = {p: (sum(map(len, ts)) / len(ts)) ** 0.5 for p, ts in by.items()}
+    mark = {p: (sum(map(marks, ts)) / len(ts)) ** 0.5 for p, ts in by.items()}
+    fused = {}
+    for i, (_, p, _) in enumerate(nodes):
+        near = [(w, nodes[i + j][1]) for j, w in zip((-1, 0, 1), htmltext.SMOOTH) if 0 <= i + j < len(nodes)]
+        total = sum(w for w, _ in near)
+        fused.setdefault(p, []).append(sum(w * size[q] for w, q in near) / total * sum(w * mark[q] for w, q in near) / total)
+    score = [sum(fused[p]) / len(fused[p]) for _, p, _ in nodes]
+    cut = htmltext.SPREAD * np.std(score)
+    assert np.std(score) < 1e-9 or min(abs(s - cut) for s in score) > 1e-9
+    parts, last = [], None
+    for (t, _, b), s in zip(nodes, score):
+        if s >= cut:
+            if b == last:
+                parts[-1] += t
+            else:
+                parts.append(t)
+            last = b
+    return "\n".join(p.strip() for p in parts if p.strip()), sum(s >= cut for s in score), len(nodes)
+
+
+def test_extraction_equals_plain_loops_on_random_trees():
+    rng = random.Random(4)
+
+    def words():
+        return " ".join(rng.choice(["alpha", "beta, gamma.", "delta!", "x", "long sentence, with marks; here."]) for _ in range(rng.randint(1, 12)))
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.45 or depth > 5:
+                out.append(words())
+            elif kind < 0.55:
+                out.append(rng.choice(["<br>", "<!-- no, <b> -->", "<hr>", "<img alt='a>b' src=x>"]))
+            else:
+                tag = rng.choice(["div", "section", "b", "span", "em", "article", "ul", "h2"])
+                attrs = rng.choice(["", " class=a", " title=\"it's > that\"", " data-x='{\"a\": 1}'"])
+                out.append(f"<{tag}{attrs}>{tree(depth + 1)}</{tag}>")
+        return rng.choice([" ", "\n", ""]).join(out)
+
+    seen = 0
+    for _ in range(300):
+        page = f"<html><body>{tree(0)}</body></html>"
+        got = htmltext.main_text(page)
+        assert got == plain_text(page)
+        seen += 0 < got[1] < got[2]
+    assert seen > 40
+
+
+@pytest.mark.parametrize("page", ["<a " * 1_700_000, '"' * 5_000_000, '<a ="' * 1_000_000, "<ul><li>x" * 200_000, "<ul><li>" + "<div>" * 150_000 + "</i><li></li>" * 100_000, "<" * 5_000_000, "<a ='>'" * 200_000 + '="', "<b>a, b</b>" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    htmltext.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_a_value_of_a_megabyte_leaks_nothing_and_heads_may_stay_open():
+    assert htmltext.main_text(f'<p title="{"a > b, c. " * 100_000}">{PARA}</p>')[0] == PARA
+    assert htmltext.main_text(f"<html><head><title>T</title><meta charset=x><p>{PARA}")[0] == PARA
+    assert htmltext.main_text(f"<p>{PARA}<a title='it's'>x</a></p><p>don't, stop.</p>")[2] == 3
