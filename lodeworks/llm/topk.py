@@ -1,10 +1,14 @@
 """Exact top-k search by inner product.
 
-Vectors are sorted by length, longest first, and cut into blocks. A query block
-meets the item blocks in that order, and stops where Cauchy-Schwarz bounds every
-later product below its k-th best. Within a block the products are summed over
-the first axes of an SVD rotation; a pair is dropped when partial sum plus the
-product of the two rests cannot reach the query's k-th best.
+Vectors are sorted by length, longest first, and cut into blocks. A first pass
+lets every block search itself: that gives each query a floor, its k-th best so
+far. A block is then sent to a group of queries only if its longest vector can
+still reach one of their floors. There the products are summed over the first
+axes of an SVD rotation; by Cauchy-Schwarz the rests add at most the product of
+their lengths, which goes along as one more axis, so that one matrix product
+gives the bounds of all pairs. How many axes the partial sums take is chosen for
+each block, by the pairs that a sample leaves over; pairs whose bound reaches
+the floor are computed exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 from lodeworks.llm.common import landed
 from lodeworks.llm.textbytes import frugal
 
-PRODUCTION = dict(k=10, block=4096, axes=24)
+PRODUCTION = dict(k=10, block=2048, group_bytes=32 << 20)
 SLACK = 2e-6
+#: What one surviving pair costs, in multiplications of the matrix product.
+GATHER = 3000
 
 
 def vectors(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
@@ -53,14 +59,15 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 class Best:
-    """The k best (rounded score, id) of each query so far."""
+    """The k best (rounded score, id) of each query so far; low: floors that are known beforehand."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, low: np.ndarray | None = None) -> None:
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.low = np.full(n, -np.inf) if low is None else low
 
     def floor(self) -> np.ndarray:
         """Below this no product can enter."""
-        return self.score[:, -1] - SLACK
+        return np.maximum(self.score[:, -1] - SLACK, self.low)
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(q):
@@ -77,56 +84,105 @@ class Best:
         self.score[hit], self.id[hit] = ss[take], xs[take]
 
 
-def meet(best: Best, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, axes: np.ndarray, first: int) -> None:
-    """Let a block of items compete for the queries; both in float64, items by descending length."""
-    qr, xr = q @ axes, x @ axes
-    rest_q = np.linalg.norm(qr[:, first:], axis=1)
-    rest_x = np.linalg.norm(xr[:, first:], axis=1)
-    length = np.linalg.norm(x, axis=1)
-    size = np.linalg.norm(q, axis=1)
-    step = max(1, 1_500_000 // max(1, len(x)))
-    for lo in range(0, len(q), step):
-        hi = min(len(q), lo + step)
-        floor = best.floor()[lo:hi]
-        # items shorter than this can't reach any of these queries
-        reach = length * size[lo:hi].max() >= floor.min()
-        upto = int(reach.sum())
+class Side:
+    """Vectors by descending length, and what the bounds need of them."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, turn: np.ndarray) -> None:
+        self.x, self.ids = x, ids
+        wide = x.astype(np.float64)
+        # products of such lengths must stay within the type
+        kind = np.float32 if np.abs(x).max(initial=0.0) < 1e15 else np.float64
+        self.turned = (wide @ turn).astype(kind)
+        self.length = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        # upper bounds of the lengths behind each cut: sums of squares from the last axis on
+        self.rest = np.sqrt(np.cumsum(self.turned[:, ::-1].astype(np.float64) ** 2, axis=1)[:, ::-1])
+
+    def bound_rows(self, cut: int) -> np.ndarray:
+        """The first cut axes, and the length of the rest as one more."""
+        if cut >= self.x.shape[1]:
+            return self.turned
+        return np.concatenate([self.turned[:, :cut], self.rest[:, cut : cut + 1].astype(self.turned.dtype)], axis=1)
+
+
+def chosen_cut(q: Side, rows: np.ndarray, x: Side, floor: np.ndarray) -> int:
+    """The number of axes (a quarter, half, three quarters, all) with the least expected work, from a sample of pairs."""
+    dim = x.x.shape[1]
+    best, cut = float(dim + GATHER * 2e-5), dim
+    at = rows[:: max(1, len(rows) // 128)]
+    some = np.arange(0, len(x.x), max(1, len(x.x) // 512))
+    for c in sorted({max(1, dim * i // 4) for i in (1, 2, 3)} - {dim}):
+        bound = q.bound_rows(c)[at] @ x.bound_rows(c)[some].T
+        cost = c + 1 + GATHER * float((bound >= floor[at][:, None]).mean())
+        if cost < best:
+            best, cut = cost, c
+    return cut
+
+
+def meet(best: Best, q: Side, x: Side) -> tuple[int, int]:
+    """Let a block of items compete for the queries; returns the pairs bounded and the pairs computed.
+
+    float32 products of these lengths are off by less than the margin that the
+    floors are lowered by; what survives is computed in float64.
+    """
+    dim = x.x.shape[1]
+    margin = 4e-7 * (dim + 8) * float(x.length[:1].max(initial=0.0)) * q.length
+    floor = best.floor() - margin
+    # items shorter than this reach no query at all
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(floor <= 0, 0.0, floor / q.length)
+    rows = np.flatnonzero(x.length[:1].max(initial=-1.0) >= need)
+    if not len(rows):
+        return 0, 0
+    bounded = computed = 0
+    known = rows[~np.isinf(floor[rows])]
+    cut = chosen_cut(q, known, x, floor) if len(known) else dim
+    left, right = q.bound_rows(cut), x.bound_rows(cut)
+    step = max(1, 2_000_000 // max(1, len(x.x)))
+    for lo in range(0, len(rows), step):
+        at = rows[lo : lo + step]
+        low = floor[at]
+        upto = int(np.searchsorted(-x.length, -need[at].min(), side="right"))
         if not upto:
             continue
-        if np.isinf(floor).any():
-            score = q[lo:hi] @ x[:upto].T
-            score[qid[lo:hi, None] == xid[None, :upto]] = -np.inf
+        if np.isinf(low).any():
+            # no k-th best yet: that of these items, less the margin, and with the query's own rows out
+            score = q.turned[at] @ x.turned[:upto].T
+            score[q.ids[at, None] == x.ids[None, :upto]] = -np.inf
             k = min(best.k, upto)
-            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-            r, c = np.nonzero(score >= np.maximum(kth - SLACK, floor)[:, None])
+            low = np.maximum(low, np.partition(score, upto - k, axis=1)[:, upto - k] - SLACK - 2 * margin[at])
         else:
-            bound = qr[lo:hi, :first] @ xr[:upto, :first].T
-            bound += rest_q[lo:hi, None] * rest_x[None, :upto]
-            r, c = np.nonzero(bound >= floor[:, None])
-        ok = qid[lo + r] != xid[c]
+            score = left[at] @ right[:upto].T
+        bounded += score.size
+        flat = np.flatnonzero((score >= low.astype(score.dtype)[:, None]).ravel())
+        r, c = np.divmod(flat, upto)
+        r = at[r]
+        ok = q.ids[r] != x.ids[c]
         r, c = r[ok], c[ok]
         for a in range(0, len(r), 200_000):
             rr, cc = r[a : a + 200_000], c[a : a + 200_000]
-            s = np.einsum("ij,ij->i", q[lo + rr], x[cc])
-            fine = s >= best.floor()[lo + rr]
-            best.add(lo + rr[fine], np.round(s[fine], 6) + 0.0, xid[cc[fine]])
+            s = np.einsum("ij,ij->i", q.x[rr].astype(np.float64), x.x[cc].astype(np.float64))
+            fine = s >= best.floor()[rr]
+            best.add(rr[fine], np.round(s[fine], 6) + 0.0, x.ids[cc[fine]])
+        computed += len(r)
+    return bounded, computed
 
 
-def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 4096, axes: int = 24) -> DataFrame:
+def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 2048, group_bytes: int = 32 << 20) -> DataFrame:
     """vec_id, rank, neighbor_id, score: for every row its k best other rows by inner product.
 
     Exact: scores are rounded to 6 decimals, ties go to the smaller id. A vector
     is no neighbour of rows with its own key; rows with one key are all queries
     and all items. Fewer than k others give fewer rows; an empty table none.
     Nulls: rows without a key, without a vector, or with a null, NaN or infinite
-    element are neither query nor item; only vectors of one length meet. Zero
-    vectors score 0. Other columns are ignored. axes: how many rotated axes the
-    partial sums take. Only one query block and one item block are in a task's
-    memory at a time.
+    element are neither query nor item; only vectors of one length meet, however
+    long. Zero vectors score 0. Other columns are ignored, whatever their names.
+    block: vectors that travel together; group_bytes: the queries that a task
+    holds, as float32, at most. A task's memory is its queries and one block;
+    the shuffle is the table times the number of groups whose floors let it in.
     """
     rows = landed(usable(table, key, vector), "vectors")
     dims = [r[0] for r in rows.select(F.size("v")).distinct().collect()]
-    parts = [_one_dim(rows.where(F.size("v") == d), d, k, block, axes) for d in sorted(dims)]
+    parts = [_one_dim(rows.where(F.size("v") == d), d, k, block, group_bytes) for d in sorted(dims)]
     schema = "vec_id bigint, rank int, neighbor_id bigint, score double"
     if not parts:
         return table.sparkSession.createDataFrame([], schema)
@@ -136,23 +192,31 @@ def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k: i
     return out
 
 
-def _one_dim(rows: DataFrame, dim: int, k: int, block: int, axes: int) -> DataFrame:
-    turn = rotation(rows, dim)
+def packed_blocks(rows: DataFrame, dim: int, k: int, block: int, turn: np.ndarray) -> DataFrame:
+    """no, top, need, ids, vs, low: blocks by descending length, numbered from the longest.
+
+    need: the length below which no vector reaches any of the block's queries,
+    from the block's search of itself; low: those queries' floors.
+    """
     length = F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
 
     def pack(batches):
         held: list[pa.RecordBatch] = []
-        count = 0
-
-        done = 0
+        count = done = 0
 
         def block_of(t: pa.Table):
             nonlocal done
-            v = vectors(t.combine_chunks().to_batches()[0], "v", dim)
-            top = float(np.linalg.norm(v.astype(np.float64), axis=1).max())
+            v = vectors(t.combine_chunks().to_batches()[0], "v", dim).astype(np.float32)
+            side = Side(v, t.column("id").to_numpy().astype(np.int64), turn)
+            best = Best(len(v), k)
+            meet(best, side, side)
+            low = best.floor()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = float(np.where(low <= 0, 0.0, low / side.length * (1 - 1e-6)).min())
             uid = (TaskContext.get().partitionId() << 32) + done
             done += 1
-            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([top]), pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["uid", "top", "ids", "vs"])
+            cells = [pa.array([x.tobytes()], pa.binary()) for x in (side.ids, v, low)]
+            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([float(side.length.max())]), pa.array([need]), *cells], ["uid", "top", "need", "ids", "vs", "low"])
 
         for batch in batches:
             held.append(batch)
@@ -166,36 +230,51 @@ def _one_dim(rows: DataFrame, dim: int, k: int, block: int, axes: int) -> DataFr
             yield block_of(pa.Table.from_batches(held))
 
     sorted_rows = rows.withColumn("l", length).sort(F.desc("l"), "id").select("id", "v")
-    packed = landed(sorted_rows.mapInArrow(frugal(pack), "uid bigint, top double, ids binary, vs binary"), "blocks")
-    # blocks by descending length of their longest vector; the driver sees one line for each block
-    order = [r[0] for r in packed.select("uid", "top").sort(F.desc("top"), "uid").toLocalIterator()]
-    n = len(order)
+    packed = landed(sorted_rows.mapInArrow(frugal(pack), "uid bigint, top double, need double, ids binary, vs binary, low binary"), "blocks")
+    # one line for each block: partitions follow each other by length, and so do their blocks
+    order = [r[0] for r in packed.select("uid").sort("uid").toLocalIterator()]
     names = rows.sparkSession.createDataFrame([(u, i) for i, u in enumerate(order)], "uid bigint, no int")
-    blocks = landed(packed.join(names, "uid").select("no", "top", "ids", "vs"), "numbered")
-    # item blocks go to every query block; a query block also gets itself, first of all
-    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("at"), F.col("no"), "top", "ids", "vs").unionByName(blocks.select(F.col("no").alias("at"), F.lit(-1).alias("no"), "top", "ids", "vs"))
-    sent = sent.repartitionById(max(n, 1), F.col("at")).sortWithinPartitions("at", "no")
+    return packed.join(names, "uid").select("no", "top", "need", "ids", "vs", "low")
+
+
+def sent_blocks(blocks: DataFrame, dim: int, block: int, group_bytes: int) -> tuple[DataFrame, int]:
+    """at, kind, no, ids, vs, low: each group's queries (kind 0), then the items that may reach
+    one of its floors (kind 1); and the number of groups: at least as many as cores, while there are blocks."""
+    spark = blocks.sparkSession
+    n = blocks.count()
+    most = max(1, group_bytes // (4 * dim * block))
+    each = max(1, min(most, -(-n // spark.sparkContext.defaultParallelism)))
+    grouped = blocks.withColumn("own", F.expr(f"no div {each}").cast("int"))
+    needs = grouped.groupBy(F.col("own").alias("at")).agg(F.min("need").alias("least"))
+    # a line for each group: 16 bytes for group_bytes of vectors
+    items = grouped.drop("need").join(F.broadcast(needs), F.col("top") >= F.col("least")).select("at", F.lit(1).alias("kind"), "no", "ids", "vs", F.lit(None).cast("binary").alias("low"))
+    return grouped.select(F.col("own").alias("at"), F.lit(0).alias("kind"), "no", "ids", "vs", "low").unionByName(items), max(1, -(-n // each))
+
+
+def _one_dim(rows: DataFrame, dim: int, k: int, block: int, group_bytes: int) -> DataFrame:
+    turn = rotation(rows, dim)
+    blocks = landed(packed_blocks(rows, dim, k, block, turn), "numbered")
+    sent, groups = sent_blocks(blocks, dim, block, group_bytes)
+    sent = sent.repartitionById(groups, F.col("at")).sortWithinPartitions("at", "kind", "no")
 
     def search(batches):
-        q = qid = best = None
+        mine, q, best = [], None, None
         for batch in batches:
-            for no, ids, vs in zip(batch.column("no").to_pylist(), batch.column("ids"), batch.column("vs")):
+            for kind, ids, vs, low in zip(batch.column("kind").to_pylist(), batch.column("ids"), batch.column("vs"), batch.column("low")):
                 xid = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-                x = np.frombuffer(vs.as_buffer(), dtype=np.float32).reshape(-1, dim).astype(np.float64)
-                if no < 0:
-                    if best is not None:
-                        yield answer(qid, best)
-                    q, qid, best = x, xid, Best(len(x), k)
-                    size = np.linalg.norm(q, axis=1)
-                elif (np.linalg.norm(x[0]) * size >= best.floor()).any():
-                    meet(best, q, qid, x, xid, turn, min(axes, dim))
-        if best is not None:
-            yield answer(qid, best)
-
-    def answer(qid, best):
-        ok = ~np.isinf(best.score)
-        r, c = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array((c + 1).astype(np.int32)), pa.array(best.id[r, c]), pa.array(best.score[r, c])], ["vec_id", "rank", "neighbor_id", "score"])
+                x = np.frombuffer(vs.as_buffer(), dtype=np.float32).reshape(-1, dim)
+                if kind == 0:
+                    mine.append((x, xid, np.frombuffer(low.as_buffer(), dtype=np.float64)))
+                    continue
+                if q is None:
+                    x_, ids_, low_ = (np.concatenate(c) for c in zip(*mine))
+                    q, best, mine = Side(x_, ids_, turn), Best(len(x_), k, low_), []
+                meet(best, q, Side(x, xid, turn))
+        if q is not None:
+            r, c = np.nonzero(~np.isinf(best.score))
+            for a in range(0, len(r), 1 << 20):
+                rr, cc = r[a : a + (1 << 20)], c[a : a + (1 << 20)]
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids[rr]), pa.array((cc + 1).astype(np.int32)), pa.array(best.id[rr, cc]), pa.array(best.score[rr, cc])], ["vec_id", "rank", "neighbor_id", "score"])
 
     return sent.mapInArrow(frugal(search), "vec_id bigint, rank int, neighbor_id bigint, score double")
 
