@@ -22,6 +22,8 @@ from lodeworks.llm.topk import vectors
 from lodeworks.llm.textbytes import frugal
 
 PRODUCTION = dict(threshold=0.95, caps=12, cap_rows=64, seed=17)
+#: Bytes of vectors (float32) that a task compares at a time: a larger cap is cut into parts, each pair of parts a task's work.
+PART_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 LEAST = 4
 RECALL = 0.96
@@ -116,30 +118,29 @@ class ProductCode:
         return np.repeat(rows, direction.shape[1]), direction.ravel()
 
 
-def edges_of(names: np.ndarray, unit: np.ndarray, threshold: float) -> np.ndarray:
-    """A spanning forest (a, b) of a cap's pairs with cosine at or above threshold.
+def edges_of(names: np.ndarray, unit: np.ndarray, threshold: float, split: int = 0) -> np.ndarray:
+    """A spanning forest (a, b) of the pairs with cosine at or above threshold: of all
+    pairs, or with split, of those between the first `split` vectors and the rest.
 
-    Every pair is compared; of each component only the edges to its least name are kept.
+    Every pair is compared; only pairs that aren't connected yet are looked at
+    further, so a dense group costs no more than its products.
     """
-    pairs = []
-    step = max(1, 2_000_000 // len(names))
-    for lo in range(0, len(names), step):
-        r, c = np.nonzero(unit[lo : lo + step] @ unit.T >= threshold)
-        up = c > r + lo
-        if up.any():
-            pairs.append(np.stack([r[up] + lo, c[up]], axis=1))
-            if sum(map(len, pairs)) > 4_000_000:
-                label = union_find(np.concatenate(pairs), len(names))
-                odd = np.flatnonzero(label != np.arange(len(names)))
-                pairs = [np.stack([label[odd], odd], axis=1)]
-    if not pairs:
-        return np.zeros((0, 2), np.int64)
-    label = union_find(np.concatenate(pairs), len(names))
-    odd = np.flatnonzero(label != np.arange(len(names)))
+    n = len(names)
+    label = np.arange(n)
+    upto, start = (split, split) if split else (n, 0)
+    step = max(1, 2_000_000 // max(1, n - start))
+    for lo in range(0, upto, step):
+        hi = min(upto, lo + step)
+        near = unit[lo:hi] @ unit[start:].T >= threshold
+        near &= label[lo:hi, None] != label[None, start:]
+        if near.any():
+            r, c = np.nonzero(near)
+            label = union_find(np.stack([label[r + lo], label[c + start]], axis=1), n)[label]
+    odd = np.flatnonzero(label != np.arange(n))
     return np.stack([names[label[odd]], names[odd]], axis=1)
 
 
-def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, caps: int = 12, cap_rows: int = 64, seed: int = 17) -> DataFrame:
+def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, caps: int = 12, cap_rows: int = 64, seed: int = 17, part_bytes: int = PART_BYTES) -> DataFrame:
     """vec_id, keep_id: a row for each vector with a near duplicate of a smaller id;
     keep_id is the smallest of its group (connected components of cosine >= threshold).
 
@@ -148,12 +149,13 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     cap at `caps` directions a vector, whatever the table's size: the number of
     directions grows with it.
     Vectors equal element by element are one node from the start. Every vector
-    is searched, and all pairs in a cap are compared.
+    is searched, and all pairs in a cap are compared, those of a cap above
+    part_bytes in several tasks.
     Nulls: a null key sorts first, gives a null id, and null keys count as one
     id; vectors that are null, empty, zero, or have a null, NaN or infinite
     element are in no group; only vectors of one length meet. Repeated rows
-    with one key count as one. An empty table gives no rows. Other columns are
-    ignored.
+    with one key count as one. An empty table gives no rows. Vectors may be of
+    any length. Other columns are ignored, whatever their names.
     """
     v = F.col(f"`{vector}`").cast("array<float>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -162,7 +164,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     nodes = landed(rows.groupBy("node").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "nodes")
     parts = []
     for dim, count in sorted((r[0], r[1]) for r in nodes.groupBy(F.size("v")).count().collect()):
-        parts.append(_edges(nodes.where(F.size("v") == dim), dim, count, threshold, caps, cap_rows, seed))
+        parts.append(_edges(nodes.where(F.size("v") == dim), dim, count, threshold, caps, cap_rows, seed, part_bytes))
     spark = table.sparkSession
     edges = spark.createDataFrame([], "a bigint, b bigint")
     for p in parts:
@@ -175,7 +177,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     return rows.select("k", "node").join(heads, "node").where("k <> keep").select(shown("k").alias("vec_id"), shown("keep").alias("keep_id"))
 
 
-def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int, cap_rows: int, seed: int) -> DataFrame:
+def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int, cap_rows: int, seed: int, part_bytes: int) -> DataFrame:
     code = ProductCode(dim, count, caps, cap_rows, seed, threshold)
     step = max(1, min(1024, (1 << 22) // (dim * max(code.least, caps))))
 
@@ -190,30 +192,60 @@ def _edges(nodes: DataFrame, dim: int, count: int, threshold: float, caps: int,
                 off = np.arange(len(row) + 1, dtype=np.int32) * dim
                 yield pa.RecordBatch.from_arrays([pa.array(direction), pa.array(part.column("node").to_numpy()[row]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cap", "node", "u"])
 
-    met = nodes.select("node", "v").mapInArrow(frugal(filters), "cap bigint, node bigint, u array<float>").repartition("cap").sortWithinPartitions("cap")
+    def counts(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                x = vectors(batch.slice(lo, step), "v", dim).astype(np.float64)
+                cap, n = np.unique(code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cap), pa.array(n)], ["cap", "n"])
+
+    # caps that one task should not compare alone: few, unless the vectors crowd
+    most = max(2, part_bytes // (4 * dim))
+    crowded = nodes.select("v").mapInArrow(frugal(counts), "cap bigint, n bigint").groupBy("cap").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    crowded = landed(crowded.select("cap", F.ceil(F.col("n") / most).cast("int").alias("parts")), "crowded")
+    met = nodes.select("node", "v").mapInArrow(frugal(filters), "cap bigint, node bigint, u array<float>").join(crowded, "cap", "left")
+    part = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int")
+    met = met.withColumn("mine", F.coalesce(part, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    place = ["cap", "lo", "hi"]
+    met = met.select("cap", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "u").repartition(*place).sortWithinPartitions(*place, "mine")
 
     def verify(batches):
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
         now = None
 
         def settle():
-            t = pa.concat_tables(held)
+            t = pa.Table.from_batches(held)
             if t.num_rows < 2:
                 return None
-            e = edges_of(t.column("node").to_numpy(), vectors(t.combine_chunks().to_batches()[0], "u", dim).astype(np.float64), threshold)
+            mine = t.column("mine").to_numpy()
+            split = 0 if now[1] == now[2] else int(np.searchsorted(mine, now[2]))
+            if now[1] != now[2] and split in (0, len(mine)):
+                return None
+            e = edges_of(t.column("node").to_numpy(), vectors(t.combine_chunks().to_batches()[0], "u", dim).astype(np.float64), threshold, split)
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"]) if len(e) else None
 
         for batch in batches:
-            cap = batch.column("cap").to_numpy()
-            cut = np.flatnonzero(np.append(True, cap[1:] != cap[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(cap))):
-                if now is not None and cap[a] != now:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in place], axis=1)
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            for a, b in zip(cut, np.append(cut[1:], len(key))):
+                at = tuple(key[a].tolist())
+                if now is not None and at != now:
                     if (out := settle()) is not None:
                         yield out
                     held = []
-                now = cap[a]
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                now = at
+                held.append(batch.slice(a, b - a))
         if held and (out := settle()) is not None:
             yield out
 
     return met.mapInArrow(frugal(verify), "a bigint, b bigint")
+
+
+def caps_sql(threshold: float = 0.95) -> str:
+    """All pairs, and the least id of each component."""
+    return f"""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(embedding) > 0),
+p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= {threshold}),
+r(node, root) as (select a, least(a, b) from p union select p.b, r.root from r join p on p.a = r.node where r.root < p.b)
+select node as vec_id, min(root) as keep_id from r group by node having min(root) < node
+"""

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -32,23 +34,69 @@ def test_top_k_equals_brute_force(spark, kind):
         x = rng.normal(size=(150, 2)) @ rng.normal(size=(2, 12))
     else:
         x = np.round(rng.normal(size=(150, 2)))
-    got = topk.top_k(table(spark, x), k=5, block=32, axes=3)
+    got = topk.top_k(table(spark, x), k=5, block=32, group_bytes=4 * 12 * 64)
     assert [tuple(r[:3]) for r in same(got)] == [r[:3] for r in brute_top(x, 5)]
     assert np.allclose([r[3] for r in same(got)], [r[3] for r in brute_top(x, 5)], atol=2e-6)
 
 
-def test_pruning_leaves_little_to_compute():
+def sides(x, block):
+    """The whole of x as queries, and its blocks as items, by descending length."""
+    x = x[np.argsort(-np.linalg.norm(x, axis=1), kind="stable")].astype(np.float32)
+    _, axes = np.linalg.eigh(x.T.astype(np.float64) @ x)
+    turn, ids = axes[:, ::-1].copy(), np.arange(len(x))
+    return topk.Side(x, ids, turn), [topk.Side(x[a : a + block], ids[a : a + block], turn) for a in range(0, len(x), block)]
+
+
+@pytest.mark.parametrize("kind, bounded, computed, axes", [("lengths", 0.26, 0.02, 64), ("low rank", 1.0, 0.02, 24), ("isotropic", 1.0, 0.02, 64)])
+def test_pruning_leaves_little_to_compute(kind, bounded, computed, axes):
+    """At the production block: the shares of all pairs that are bounded and computed, and the axes taken."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 16)) * np.linspace(3, 0.1, 16)
-    x = x[np.argsort(-np.linalg.norm(x, axis=1))]
-    ids = np.arange(400)
-    _, axes = np.linalg.eigh(x.T @ x)
-    best = topk.Best(400, 5)
-    for a in range(0, 400, 100):
-        topk.meet(best, x, ids, x[a : a + 100], ids[a : a + 100], axes[:, ::-1], 4)
-    s = np.round(x @ x.T, 6)
+    x = rng.normal(size=(8192, 64))
+    if kind == "low rank":
+        x = x * np.linspace(3, 0, 64).clip(0.02) ** 4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lengths":
+        x *= rng.lognormal(0, 1.5, (len(x), 1))
+    q, blocks = sides(x, topk.PRODUCTION["block"])
+    best = topk.Best(len(x), 10)
+    did = np.sum([topk.meet(best, q, b) for b in blocks], axis=0)
+    assert did[0] <= bounded * len(x) ** 2 and did[1] <= computed * len(x) ** 2
+    assert topk.chosen_cut(q, np.arange(len(x)), blocks[1], best.floor()) <= axes
+    some = np.arange(0, len(x), 97)
+    s = np.round(q.x[some].astype(np.float64) @ q.x.T.astype(np.float64), 6)
+    s[np.arange(len(some)), some] = -np.inf
+    assert np.allclose(best.score[some], -np.sort(-s, axis=1)[:, :10])
+
+
+def test_only_blocks_within_reach_are_sent(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 8))
+    x *= rng.lognormal(0, 2, (len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = topk.usable(table(spark, x), "vec_id", "embedding")
+    blocks = topk.packed_blocks(rows, 8, 3, 50, np.eye(8))
+    sent, groups = topk.sent_blocks(blocks, 8, 50, 4 * 8 * 100)
+    tops = {r.no: r.top for r in blocks.select("no", "top").collect()}
+    need = {r.no: r.need for r in blocks.select("no", "need").collect()}
+    each = -(-len(tops) // groups)
+    least = {}
+    for no, n in need.items():
+        least[no // each] = min(n, least.get(no // each, np.inf))
+    got = {(r["at"], r.no) for r in sent.where("kind = 1").select("at", "no").collect()}
+    assert groups > 10 and got == {(g, no) for g, n in least.items() for no, t in tops.items() if t >= n}
+    assert len(got) < 0.7 * groups * len(tops) and sent.where("kind = 0").count() == len(tops)
+    assert [tuple(r[:3]) for r in same(topk.top_k(table(spark, x), k=3, block=50, group_bytes=4 * 8 * 100))] == [r[:3] for r in brute_top(x, 3)]
+
+
+def test_huge_and_tiny_numbers(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)) * 10.0 ** rng.integers(-20, 18, (60, 1))
+    got = {tuple(r[:3]) for r in topk.top_k(table(spark, x), k=2, block=16).collect()}
+    f = x.astype(np.float32).astype(np.float64)
+    s = np.round(f @ f.T, 6)
     np.fill_diagonal(s, -np.inf)
-    assert np.allclose(best.score, -np.sort(-s, axis=1)[:, :5])
+    for i, _, j in got:
+        assert np.isclose(s[i, j], np.sort(s[i])[-2:], rtol=1e-9, atol=2e-6).any()
+    assert len(got) == 120
 
 
 def test_top_k_edges(spark):
@@ -118,3 +166,47 @@ def test_pairs_at_the_threshold_meet_at_any_row_count(rows):
     code = caps.ProductCode(64, rows, 12, 64, 17)
     mine, other = ({(r, d) for r, d in zip(*code.decode(unit))} for unit in (x, y))
     assert len({r for r, _ in mine & other}) / len(x) >= 0.93
+
+
+@pytest.mark.parametrize("part_rows", [7, 40, 100_000])
+def test_crowded_caps_are_cut_without_loss(spark, part_rows):
+    """300 noisy copies of one vector and loose ones, with parts of few vectors: the groups stay."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, np.repeat(base[:1], 300, 0) + 0.03 * rng.normal(size=(300, 16)), base[5:9] + 0.03 * rng.normal(size=(4, 16))])
+    got = set(map(tuple, caps.near_duplicates(table(spark, x), part_bytes=4 * 16 * part_rows).collect()))
+    assert got == brute_groups(x, 0.95) and len(got) >= 304
+
+
+def test_fifty_thousand_copies_take_bounded_work():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(1, 64)), 20_000, 0) + 0.01 * rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = rng.permutation(20_000)
+    began = time.time()
+    for split in (0, 9_000):
+        e = caps.edges_of(names, x, 0.95, split)
+        assert len(e) == 19_999 and len(set(e[:, 0].tolist())) == 1
+    assert time.time() - began < 60
+
+
+def test_edges_between_two_parts():
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(30, 5))] * 2) + 0.05 * rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = caps.edges_of(np.arange(60), x, 0.95, 30)
+    near = x[:30] @ x[30:].T >= 0.95
+    label = caps.union_find(np.stack(np.nonzero(near), 1) + [0, 30], 60)
+    assert (caps.union_find(e, 60) == label).all()
+
+
+def test_caps_equal_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(80, 16))
+    x = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 16)), base[:5]])
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding float[], label int)")
+    con.executemany("insert into embeddings values (?, ?, 0)", [(i, [float(a) for a in v]) for i, v in enumerate(x)])
+    assert same(caps.near_duplicates(table(spark, x))) == sorted(con.sql(caps.caps_sql()).fetchall(), key=repr)
