@@ -9,7 +9,9 @@ minimum length: what is still open then is a repeat.
 To split the corpus exactly, each text is cut down to the surroundings of its
 anchors. A window of min_words words has the same least hash of ANCHOR_WORDS
 consecutive words in every document, so all copies of a window meet in the
-shard of that hash, with enough words around it to hold the whole window.
+shard of that hash, with enough words around it to hold the whole window. Where
+an anchor has more places than one task should hold, its windows themselves are
+the keys: counted by an aggregate, which no hot key slows down.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.llm.common import free, grown, landed, make_room
-from lodeworks.llm.textbytes import Roller, chunks, frugal, text_column, words
+from lodeworks.llm.textbytes import Roller, chunks, frugal, mix, text_column, words
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 16
 SHARD_WORDS = 500_000
+#: Anchors at more places than this are counted window by window.
+HOT_PLACES = 20_000
 NO_ID = -(1 << 63)
 WORD_ROLL, GRAM_ROLL = Roller(seed=21), Roller(seed=22)
 
@@ -208,23 +211,60 @@ def _identity(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, key: str = "doc_id", text: str = "text", hot_places: int = HOT_PLACES) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), first: the repeated passages.
 
-    Words are runs without ASCII white space, compared byte for byte. A window
+    Words are runs without ASCII white space, compared byte for byte; characters
+    from U+3000 to U+9FFF are words of their own. A window
     of min_words words is repeated if it occurs at another place, in any
     document or in the same one. first says that of its places this one comes
     first, by (doc_id, hash of the text, place); overlapping windows of one
     kind are one passage. Every window of every text counts, however long.
     A null key sorts first and counts as one document for each distinct text;
     null texts and those with fewer than min_words words have no repeats. Rows
-    with one key and one text count as one document. Other columns are ignored.
+    with one key and one text count as one document. An empty table gives no
+    rows. Other columns are ignored, whatever their names. hot_places: from how
+    many places on an anchor's windows are counted one by one; it changes no result.
     """
-    found = _core(docs, min_words, anchor_words, key, text)
+    found = _core(docs, min_words, anchor_words, key, text, hot_places)
     return found.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "start_word", "end_word", "first")
 
 
-def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: str) -> DataFrame:
+def _hot_windows(doc_side: DataFrame, hot: DataFrame, min_words: int, side: int) -> DataFrame:
+    """k, th, lo, hi, head: the repeated windows around hot anchors (k, th, p), each
+    window a run of its own. Windows are compared by two 64-bit hashes of their words."""
+    wanted = hot.groupBy(F.col("k").alias("k2"), F.col("th").alias("th2")).agg(F.collect_list("p").alias("ps"))
+    near = doc_side.join(grown(wanted), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", "ps", "text").dropDuplicates(["k", "th"])
+
+    def windows(batches):
+        for batch in batches:
+            raw, off = text_column(batch, "text")
+            k, th, ps = batch.column("k").to_numpy(), batch.column("th").to_numpy(), batch.column("ps")
+            po, pv = ps.offsets.to_numpy(), ps.values.to_numpy()
+            for a, b in chunks(off):
+                data, offs = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+                s, e = words(data, offs)
+                first = np.searchsorted(s, offs)
+                code = WORD_ROLL.spans(data, s, e)
+                doc = np.repeat(np.arange(b - a), np.diff(po[a : b + 1]))
+                p = pv[po[a] : po[b]].astype(np.int64)
+                lo = np.maximum(p - side, 0)
+                size = np.maximum(np.minimum(p, np.diff(first)[doc] - min_words) - lo + 1, 0)
+                at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+                key = np.unique(np.repeat(doc, size) << 40 | at)
+                doc, at = key >> 40, key & ((1 << 40) - 1)
+                begin = first[doc] + at
+                one = GRAM_ROLL.spans(code, begin, begin + min_words, premul=code)
+                two = WORD_ROLL.spans(code, begin, begin + min_words, premul=mix(code))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k[a:b][doc]), pa.array(th[a:b][doc]), pa.array(at.astype(np.int32))], ["h1", "h2", "k", "th", "lo"])
+
+    each = landed(near.mapInArrow(frugal(windows), "h1 bigint, h2 bigint, k bigint, th bigint, lo int"), "windows")
+    place = F.struct("k", "th", "lo")
+    heads = each.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").drop("b")
+    return each.join(heads, ["h1", "h2"]).select("k", "th", "lo", (F.col("lo") + 1).alias("hi"), (place == F.col("a")).alias("head"))
+
+
+def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: str, hot_places: int = HOT_PLACES) -> DataFrame:
     side = min_words - anchor_words
     doc_side = _identity(docs, key, text)
 
@@ -261,8 +301,12 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
     distinct = anchored.join(grown(extra), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left_anti")
 
     flat = distinct.select("k", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(F.col("a.hs").alias("h"), "k", "th", F.col("a.ps").alias("p"))
-    met = landed(flat.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("h"))).where("c > 1").drop("c"), "met")
-    shards = max(1, -(-met.count() * (2 * side + anchor_words) // SHARD_WORDS))
+    often = flat.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = landed(flat.join(grown(often), "h"), "met")
+    places, crowded = met.agg(F.count_if(F.col("c") <= hot_places), F.count_if(F.col("c") > hot_places)).first()
+    hot = met.where(F.col("c") > hot_places).drop("c")
+    met = met.where(F.col("c") <= hot_places).drop("c")
+    shards = max(1, -(-places * (2 * side + anchor_words) // SHARD_WORDS))
     wanted = met.groupBy(F.col("k").alias("k2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("h", "p")).alias("a"))
     near = doc_side.join(grown(wanted), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", F.col("a.h").alias("hs"), F.col("a.p").alias("ps"), "text")
 
@@ -323,6 +367,8 @@ def _core(docs: DataFrame, min_words: int, anchor_words: int, key: str, text: st
 
     runs_schema = "k bigint, th bigint, lo int, hi int, head boolean"
     found = around.mapInArrow(frugal(search), runs_schema).unionByName(whole)
+    if crowded:
+        found = found.unionByName(_hot_windows(doc_side, hot, min_words, side))
     per_doc = found.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi", "head")).alias("r"))
 
     def settle(batches):
@@ -346,8 +392,9 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int
     What stays of a text is the stretches between, joined by a line feed where
     words were taken out; texts without a later copy are untouched. length, if
     docs has such a column, is set to the new number of characters of the texts
-    that change. A document that loses all its words goes. Nulls, ties and
-    repeated rows are as in spans(); all columns of docs are kept.
+    that change. A document that loses all its words goes. Nulls, ties, repeated
+    rows and very long texts are as in spans(); all columns of docs are kept,
+    whatever their names; an empty table stays empty.
     """
     cut = _core(docs, min_words, anchor_words, key, text).where("not first").groupBy(F.col("k").alias("_k2"), F.col("th").alias("_th2")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
     names = docs.columns
@@ -385,3 +432,18 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int
             yield out.filter(pa.array([bool(x) for x in new]))
 
     return calm.unionByName(hit.mapInArrow(frugal(shorten), T.StructType(docs.schema.fields)))
+
+
+def spans_sql(min_words: int = MIN_WORDS) -> str:
+    """The same from all windows, for documents whose ids differ."""
+    more = min_words - 1
+    return rf"""
+with d as (select distinct doc_id, text from documents where text is not null),
+w as (select doc_id, regexp_extract_all(text, '[\x{{3000}}-\x{{9FFF}}]|[^ \t\n\r\f\v\x{{3000}}-\x{{9FFF}}]+') as w from d),
+x as (select doc_id, w, unnest(generate_series(1, len(w) - {more})) as i from w where len(w) > {more}),
+h as (select doc_id, i - 1 as s, md5(array_to_string(w[i : i + {more}], ' ')) as h from x),
+m as (select *, count(*) over (partition by h) as c, row_number() over (partition by h order by doc_id nulls first, s) = 1 as first from h),
+k as (select doc_id, s, first, s > lag(s) over (partition by doc_id, first order by s) + {min_words} as cut from m where c > 1),
+r as (select *, count(*) filter (where cut) over (partition by doc_id, first order by s) as run from k)
+select doc_id, min(s)::int as start_word, (max(s) + {min_words})::int as end_word, first from r group by doc_id, first, run
+"""

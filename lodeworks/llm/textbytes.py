@@ -157,5 +157,13 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs without ASCII white space, byte for byte: starts, ends."""
-    return runs(~_SPACE[data], offsets)
+    """Runs without ASCII white space, byte for byte: starts, ends. Scripts that write
+    no spaces have a word for each character: those from U+3000 to U+9FFF stand alone."""
+    s, e = runs(~_SPACE[data], offsets)
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    if len(lead) and len(s):
+        cut = np.unique(np.concatenate([lead, lead + 3]))
+        at = np.maximum(np.searchsorted(s, cut, side="right") - 1, 0)
+        cut = cut[(cut > s[at]) & (cut < e[at])]
+        s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+    return s, e

@@ -2,7 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.llm import repeats
@@ -12,7 +14,7 @@ L, K = 10, 4
 
 
 def split(t):
-    return [w for w in re.split(r"[ \t\n\r\f\v]+", t or "") if w]
+    return re.findall(r"[\u3000-\u9fff]|[^ \t\n\r\f\v\u3000-\u9fff]+", t or "")
 
 
 def brute(rows):
@@ -54,7 +56,7 @@ def corpus(seed):
         for _ in range(rng.choice([0, 0, 1, 2])):
             parts += [rng.choice(shared), prose(rng, rng.randint(0, 12))]
         rows.append((i, "\n".join(parts)))
-    rows += [(50, rows[3][1]), (51, rows[3][1]), (60, "da " * 200), (61, "da do " * 60), (62, ""), (63, None), (64, "too short"), (None, shared[0] + " " + prose(rng, 5))]
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (60, "da " * 200), (61, "da do " * 60), (62, ""), (63, None), (65, "中文字母語言學習 ab中文字母語言學習cd、" + "x"), (66, "前中文字母語言學習 ab中文字母語言學習cd、。"), (64, "too short"), (None, shared[0] + " " + prose(rng, 5))]
     return rows
 
 
@@ -64,6 +66,38 @@ def test_spans_equal_brute_force(spark, docs_of):
         assert same(repeats.spans(docs_of(rows), L, K).distinct()) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_anchors_change_nothing(spark, docs_of, hot):
+    rows = corpus(4)
+    assert same(repeats.spans(docs_of(rows), L, K, hot_places=hot).distinct()) == brute(rows)
+
+
+def test_spans_equal_sql(spark, docs_of):
+    rows = [r for r in corpus(5) if r[0] is not None]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(con.sql(repeats.spans_sql(L)).fetchall(), key=repr) == brute(rows)
+
+
+def test_a_passage_in_very_many_documents(spark):
+    """The anchors of a passage in 20,000 documents go by windows; no task holds them all."""
+    passage = prose(random.Random(7), 60)
+    docs = spark.range(20_000).selectExpr("id as doc_id", f"concat('a', id, ' b', id, ' {passage} c', id) as text", "1 as k", "'x' as head")
+    got = repeats.spans(docs, 50, 16, hot_places=1000)
+    by = {tuple(r): r["count"] for r in got.groupBy("start_word", "end_word", "first").count().select("start_word", "end_word", "first", "count").collect() for r in [r]}
+    assert by == {(2, 62, True, 1): 1, (2, 62, False, 19_999): 19_999}
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 5, "x", 7), (2, long + " tail", 6, None, 8), (3, None, 1, "y", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, first int, h string, start_word int")
+    assert same(repeats.spans(df)) == sorted([(1, 0, 60_000, True), (2, 0, 60_000, False)], key=repr)
+    out = repeats.drop_repeats(df)
+    assert out.columns == df.columns and same(out) == sorted([rows[0], (2, "tail", 6, None, 8), rows[2]], key=repr)
+
+
 def test_later_copies_go(spark, docs_of):
     rows = corpus(3)
     df = docs_of(rows).withColumn("_cuts", F.lit(3))
