@@ -11,14 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import make_room
+from lodeworks.llm.common import landed, make_room
 from lodeworks.llm.textbytes import CHUNK, chunks, frugal, lowered, text_column
 
 DIM = 1024
 SYMBOLS = 128
-SAMPLE_DOCS = 4096
+SAMPLE_DOCS = 1024
 OUT = "lang_id string, cosine double, margin double"
 
 
@@ -98,17 +99,18 @@ def _parts(raw: np.ndarray, offsets: np.ndarray):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
     """A unit prototype for each language of the labelled rows.
 
-    sample_docs bounds the labelled rows: those with the smallest hash of their
-    key are taken (ties by key), the same ones on every run. Rows without a
-    label or a text are left out.
+    sample_docs bounds the labelled rows of each language, so the rarest one has
+    its prototype, too: those with the smallest hashes of key and text are
+    taken, the same ones on every run. Rows without a label or a text are left
+    out; rows alike in key, text and label count once.
     """
-    spark = docs.sparkSession
     c = lambda n: F.col(f"`{n}`")
-    labelled = docs.where(c(lang).isNotNull() & c(text).isNotNull()).select(c(key).alias("k"), F.xxhash64(c(key)).alias("h"))
-    bound = labelled.orderBy("h").limit(sample_docs).agg(F.max("h"), F.count("*")).first()
-    if not bound[1]:
-        return {}
-    rows = docs.where(c(lang).isNotNull() & c(text).isNotNull() & (F.xxhash64(c(key)) <= bound[0])).select(c(lang).cast("string").alias("lang"), c(text).cast("string").alias("text"))
+    rows = docs.where(c(lang).isNotNull() & c(text).isNotNull()).select(c(lang).cast("string").alias("lang"), c(text).cast("string").alias("text"), c(key).alias("k"))
+    rows = rows.select("lang", "text", F.xxhash64("k").alias("h"), F.xxhash64("text").alias("t"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
+    # sample_docs lines for each language
+    taken = landed(rows.select("lang", "h", "t").distinct().withColumn("n", place).where(F.col("n") <= sample_docs).drop("n"), "labelled")
+    rows = rows.join(taken, ["lang", "h", "t"]).dropDuplicates(["lang", "h", "t"]).select("lang", "text")
     letters = letter_vectors()
 
     def sums(batches):
@@ -138,7 +140,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     and one without three letters and gaps in a row (such as an empty one), gets
     lang_id 'und' with null cosine and margin; a null key stays null. Ties go
     to the language that comes first in the alphabet. Repeated rows are
-    answered each; whole texts count, however long. Other columns are ignored.
+    answered each; whole texts count, however long; an empty table gives no rows.
+    Other columns are ignored (detect() renames a key that clashes to <name>_in).
     """
     names = np.array([*prototypes, "und"], dtype=object)
     proto = np.stack(list(prototypes.values())).astype(np.float32) if prototypes else np.zeros((0, DIM), np.float32)
