@@ -55,4 +55,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_topk": topk.topk_sql(topk.PRODUCTION["k"]), "op6_mixing": mixing.mixing_sql(), "op9_sharding": sharding.sharding_sql(SHARD_BYTES)}
+    return {
+        "op1_simhash": simhash.groups_sql(simhash.PRODUCTION["jaccard"]),
+        "op4_topk": topk.topk_sql(topk.PRODUCTION["k"]),
+        "op6_mixing": mixing.mixing_sql(),
+        "op7_caps": caps.caps_sql(caps.PRODUCTION["threshold"]),
+        "op9_sharding": sharding.sharding_sql(SHARD_BYTES),
+        "op10_suffix_dedup": repeats.spans_sql(),
+    }
