@@ -72,9 +72,11 @@ def from_epoch_days(c: Column) -> Column:
 
 def from_base10000(groups: Column, weight: Column, scale: int) -> Column:
     """An exact decimal from groups of four digits; weight is the power of 10000 of the first group."""
-    n = F.size(groups)
-    digits = F.aggregate(groups, F.lit(0).cast("decimal(38,0)"), lambda a, g: (a * 10000 + g).cast("decimal(38,0)"))
-    return F.when(n == 0, F.lit(0)).otherwise(digits * F.pow(F.lit(10000.0), weight - n + 1).cast("decimal(38,20)")).cast(f"decimal(38,{scale})")
+    digits = F.array_join(F.transform(groups, lambda g: F.lpad(g.cast("string"), 4, "0")), "")
+    whole = F.greatest(weight + 1, F.lit(0)) * 4
+    padded = F.rpad(F.concat(F.repeat(F.lit("0"), F.greatest(-weight - 1, F.lit(0)) * 4), digits), F.greatest(F.length(digits) + F.greatest(-weight - 1, F.lit(0)) * 4, whole), "0")
+    text = F.concat(F.lit("0"), F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)), F.lit("0"))
+    return F.when(F.size(groups) == 0, F.lit(0)).otherwise(text.cast(f"decimal(38,{scale})")).cast(f"decimal(38,{scale})")
 
 
 def json_text(c: Column, *path: str) -> Column:

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -69,23 +68,38 @@ def _key(row: str, pk: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"{row}.`{c}`").alias(c) for c in pk]).alias("key"), F.concat(*cells)
 
 
+def same_key(one: str, other: str, pk: Sequence[str]) -> Column:
+    """Whether two rows have one key, column by column; null equals null."""
+    out = F.lit(True)
+    for c in pk:
+        out = out & F.col(f"{one}.`{c}`").eqNullSafe(F.col(f"{other}.`{c}`"))
+    return out
+
+
 def horizon(events: DataFrame) -> DataFrame:
     """One row with the place of the last truncate (null: none)."""
     return events.where("op = 'T'").agg(F.max(_at()).alias("cut"))
 
 
-def keyed(events: DataFrame, pk: Sequence[str]) -> DataFrame:
+def after_cut(events: DataFrame, cut: tuple[int, int] | None) -> DataFrame:
+    """The events behind a place in the log."""
+    if cut is None:
+        return events
+    lsn, seq = (F.lit(x).cast("bigint") for x in cut)
+    return events.where((F.col("commit_lsn") > lsn) | ((F.col("commit_lsn") == lsn) & (F.col("seq") > seq)))
+
+
+def keyed(events: DataFrame, pk: Sequence[str], cut: tuple[int, int] | None = None) -> DataFrame:
     """at, part, kind (D delete, U row, R row that moves from another key with cells
     masked), key, row, masked, origin; an update that changes the key is a delete
     of the old and a row of the new one, unless it leaves cells out: then it is R.
-    Events before the last truncate are dropped, unknown ops and null keys raise."""
-    cut = horizon(events)
-    live = events.crossJoin(F.broadcast(cut)).where(F.col("cut").isNull() | (_at() > F.col("cut"))).where("op <> 'T' or op is null")
+    Events up to cut, the last truncate, are dropped; unknown ops and null keys raise."""
+    live = after_cut(events, cut).where("op <> 'T' or op is null")
     known = F.when(F.col("op").isin(*OPS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown change op "), F.coalesce("op", F.lit("null")))).cast("string"))
     live = live.withColumn("op", known)
     old, old_ok = _key("before", pk)
     new, new_ok = _key("after", pk)
-    moved = (F.col("op") == "U") & F.col("before").isNotNull() & F.coalesce(F.concat(F.lit(""), *[F.coalesce(F.col(f"before.`{c}`").cast("string"), F.lit("\0")) for c in pk]) != F.concat(F.lit(""), *[F.coalesce(F.col(f"after.`{c}`").cast("string"), F.lit("\0")) for c in pk]), F.lit(False))
+    moved = (F.col("op") == "U") & F.col("before").isNotNull() & ~same_key("before", "after", pk)
     masked = _masked()
     row = lambda kind, key, ok, origin, body: F.struct(F.lit(kind).alias("kind"), key, ok.alias("ok"), origin.alias("origin"), body.alias("row"))
     nothing = F.lit(None).cast(events.schema["after"].dataType)
@@ -100,13 +114,15 @@ def keyed(events: DataFrame, pk: Sequence[str]) -> DataFrame:
 @dataclass
 class Collapsed:
     """states: key, op (U or D), row, holes (columns still masked), origin (the
-    key under which the destination holds them); truncated: one row, flag."""
+    key under which the destination holds them); wiped: the window truncates the
+    table; moved: some origin differs from its key."""
 
     states: DataFrame
-    truncated: DataFrame
+    wiped: bool
     pk: tuple[str, ...]
     columns: tuple[str, ...]
     holes: bool = True
+    moved: bool = True
 
 
 def unmasked(ops: DataFrame, column: str) -> DataFrame:
@@ -120,34 +136,42 @@ def collapse(events: DataFrame, pk: Sequence[str], masks: bool = True) -> Collap
     stays one even if the window made the row, a masked cell takes the last value
     that the window has for it after the key's last delete, else stays a hole.
 
-    Partial aggregates do the folding. Only keys that a row with masked cells
-    moved from or to go through an ordered fold in Python. masks=False is for a
-    log whose rows are always whole: one aggregate is then the whole plan.
+    One aggregate does the folding: of each cell the last value, and of each key
+    the last delete, behind which alone a value counts. Only keys that a row with
+    masked cells moved from or to go through an ordered fold in Python. A first
+    small pass tells where the last truncate is and whether any row moved so;
+    masks=False is for a log whose rows are always whole.
     """
     columns = tuple(f.name for f in events.schema["after"].dataType)
-    ops = keyed(events, pk)
+    moves_so = (F.col("op") == "U") & (F.size(_masked()) > 0) & F.col("before").isNotNull() & ~same_key("before", "after", pk)
+    found = events.agg(F.max(F.when(F.col("op") == "T", _at())).alias("cut"), F.count_if(moves_so).alias("moves")).first()
+    cut = None if found["cut"] is None else tuple(found["cut"])
+    moving = masks and found["moves"] > 0
+    ops = keyed(events, pk, cut)
+    done = lambda states, holes: Collapsed(states, cut is not None, tuple(pk), columns, holes, moving)
     if not masks:
         last = unmasked(ops, "kind").groupBy("key").agg(F.max_by(F.struct("kind", "row"), "at").alias("last"))
         states = last.select("key", F.col("last.kind").alias("op"), F.col("last.row").alias("row"), F.array().cast("array<string>").alias("holes"), F.col("key").alias("origin"))
-        return Collapsed(states, horizon(events).select(F.col("cut").isNotNull().alias("flag")), tuple(pk), columns, holes=False)
-    moves = ops.where("kind = 'R'")
-    touched = moves.select("key").unionByName(moves.select(F.col("origin").alias("key"))).distinct()
-    plain = ops.join(touched, "key", "left_anti").where("kind <> 'R'").select(ops.columns)
-    died = F.max(F.when(F.col("kind") == "D", F.col("at"))).over(W.partitionBy("key"))
-    alive = plain.withColumn("died", died)
-    fresh = F.col("died").isNull() | (F.col("at") > F.col("died"))
+        return done(states, False)
+    plain, moves = ops, None
+    if moving:
+        moves = ops.where("kind = 'R'")
+        touched = moves.select("key").unionByName(moves.select(F.col("origin").alias("key"))).distinct()
+        plain = ops.join(touched, "key", "left_anti").where("kind <> 'R'").select(ops.columns)
     cells = []
     for c in columns:
-        has = fresh & (F.col("kind") == "U") & ~F.array_contains("masked", c)
-        cells.append(F.max_by(F.when(has, F.struct(F.col(f"row.`{c}`").alias("v"))), F.when(has, F.col("at"))).alias(f"c_{c}"))
-    folded = alive.groupBy("key").agg(F.max_by("kind", "at").alias("op"), *cells)
-    row = F.struct(*[F.col(f"`c_{c}`.v").alias(c) for c in columns])
-    holes = F.array_compact(F.array(*[F.when(F.col(f"`c_{c}`").isNull(), F.lit(c)) for c in columns]))
+        has = (F.col("kind") == "U") & ~F.array_contains("masked", c)
+        cells.append(F.max(F.when(has, F.col("at"))).alias(f"t_{c}"))
+        cells.append(F.max_by(F.col(f"row.`{c}`"), F.when(has, F.col("at"))).alias(f"v_{c}"))
+    folded = plain.groupBy("key").agg(F.max_by("kind", "at").alias("op"), F.max(F.when(F.col("kind") == "D", F.col("at"))).alias("died"), *cells)
+    told = lambda c: F.col(f"`t_{c}`").isNotNull() & (F.col("died").isNull() | (F.col(f"`t_{c}`") > F.col("died")))
+    row = F.struct(*[F.when(told(c), F.col(f"`v_{c}`")).alias(c) for c in columns])
+    holes = F.array_compact(F.array(*[F.when(~told(c), F.lit(c)) for c in columns]))
     states = folded.select("key", "op", F.when(F.col("op") == "U", row).alias("row"), F.when(F.col("op") == "U", holes).otherwise(F.array().cast("array<string>")).alias("holes"), F.col("key").alias("origin"))
-    chain = ops.join(touched, "key", "left_semi").unionByName(moves.join(touched, "key", "left_anti")).select(ops.columns)
-    states = states.unionByName(_fold_moves(chain, states.schema, columns, tuple(pk)))
-    truncated = horizon(events).select(F.col("cut").isNotNull().alias("flag"))
-    return Collapsed(states, truncated, tuple(pk), columns)
+    if moving:
+        chain = ops.join(touched, "key", "left_semi").unionByName(moves.join(touched, "key", "left_anti")).select(ops.columns)
+        states = states.unionByName(_fold_moves(chain, states.schema, columns, tuple(pk)))
+    return done(states, True)
 
 
 def _fold_moves(ops: DataFrame, schema: StructType, columns: tuple[str, ...], pk: tuple[str, ...]) -> DataFrame:
@@ -194,7 +218,7 @@ def _filled(target: DataFrame, c: Collapsed) -> DataFrame:
 
 
 def _base(target: DataFrame, c: Collapsed) -> DataFrame:
-    return target.crossJoin(F.broadcast(c.truncated)).where("not flag").drop("flag")
+    return target.limit(0) if c.wiped else target
 
 
 def apply_delete_insert(target: DataFrame, c: Collapsed) -> DataFrame:
@@ -205,12 +229,24 @@ def apply_delete_insert(target: DataFrame, c: Collapsed) -> DataFrame:
 
 
 def apply_merge(target: DataFrame, c: Collapsed) -> DataFrame:
-    """The same as one full outer join on the key, as MERGE would do it."""
+    """The same as one full outer join on the key, as MERGE would do it: the row
+    that it meets also fills the holes of one that stayed under its key. Rows
+    that moved with holes take them from where they were, by a join before."""
     base = _base(target, c)
-    new = _filled(base, c)
-    ups = new.select(*[F.col(f"`{k}`").alias(f"_k_{k}") for k in c.pk], F.struct(*[F.col(f"`{n}`").alias(n) for n in c.columns]).alias("_new"))
-    gone = c.states.where("op = 'D'").select(*[F.col(f"key.`{k}`").alias(f"_k_{k}") for k in c.pk], F.lit(None).cast(ups.schema["_new"].dataType).alias("_new"))
-    changes = ups.unionByName(gone).withColumn("_hit", F.lit(True))
+    if c.moved and c.holes:
+        new = _filled(base, c)
+        states = new.select(F.struct(*[F.col(f"`{k}`").alias(k) for k in c.pk]).alias("key"), F.lit("U").alias("op"), F.struct(*[F.col(f"`{n}`").alias(n) for n in c.columns]).alias("row"), F.array().cast("array<string>").alias("holes"))
+        gone = c.states.where("op = 'D'").select("key", "op", F.lit(None).cast(states.schema["row"].dataType).alias("row"), "holes")
+        states = states.unionByName(gone)
+    else:
+        states = c.states.select("key", "op", "row", "holes")
+    states = states.select(*[F.col(f"key.`{k}`").alias(f"_k_{k}") for k in c.pk], F.col("op").alias("_op"), F.col("row").alias("_row"), F.col("holes").alias("_holes"))
     on = [F.col(f"`{k}`") == F.col(f"`_k_{k}`") for k in c.pk]
-    met = base.join(changes, on, "full_outer").where("_hit is null or _new is not null")
-    return met.select(*[F.when(F.col("_hit"), F.col(f"_new.`{n}`")).otherwise(F.col(f"`{n}`")).alias(n) for n in target.columns])
+    met = base.withColumn("_held", F.lit(True)).join(states, on, "full_outer").where("_op is null or _op <> 'D'")
+
+    def cell(n: str) -> Column:
+        gone = F.raise_error(F.lit(f"the row that holds the unchanged column {n} is gone")).cast(target.schema[n].dataType)
+        kept = F.when(F.col("_held"), F.col(f"`{n}`")).otherwise(gone) if c.holes else gone
+        return F.when(F.col("_op").isNull(), F.col(f"`{n}`")).when(~F.array_contains("_holes", n), F.col(f"_row.`{n}`")).otherwise(kept).alias(n)
+
+    return met.select(*[cell(n) for n in target.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.errors import InvalidInput
-from lodeworks.operators.cdc import OPS, ORDER, unmasked
+from lodeworks.operators.cdc import OPS, ORDER, same_key, unmasked
 
 META = ("_op", "_lsn", "_seq", "_at")
 
@@ -46,16 +46,16 @@ def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, curr
 
     A change of key is D of the old and U of the new one; a truncate is one T
     row without data and wipes nothing; a delete has only what the log gives
-    (often just the key). lsn is the commit's, seq counts within the commit, so
-    a replay gives the same rows. Masked cells take the last value in the window
+    (often just the key). lsn is the commit's, seq grows within it (twice the
+    event's, plus one, or two for the second part of a change of key), so a replay
+    gives the same rows, without a sort of the commit. Masked cells take the last value in the window
     (of the new key, else of the old one), else that of the current view, else
     the change is torn and raises. masks=False is for a log whose rows are whole.
     """
     columns = [f.name for f in events.schema["after"].dataType]
     check_names(columns)
     row_type = events.schema["after"].dataType
-    text = lambda side: F.concat(F.lit(""), *[F.coalesce(F.col(f"{side}.`{c}`").cast("string"), F.lit("\0")) for c in pk])
-    moved = (F.col("op") == "U") & F.col("before").isNotNull() & (text("before") != text("after"))
+    moved = (F.col("op") == "U") & F.col("before").isNotNull() & ~same_key("before", "after", pk)
     known = F.when(F.col("op").isin(*OPS), F.col("op")).otherwise(F.raise_error(F.lit("unknown change op")).cast("string"))
     masked = F.coalesce("masked", F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
@@ -69,8 +69,7 @@ def capture(events: DataFrame, pk: Sequence[str], at: Column | None = None, curr
     )
     flat = events.withColumn("op", known).select(*ORDER, F.posexplode(parts).alias("part", "e"))
     flat = flat.select(*ORDER, "part", "e.*")
-    seq = F.row_number().over(W.partitionBy("commit_lsn").orderBy("seq", "part")).cast("bigint")
-    flat = flat.withColumn("n", seq)
+    flat = flat.withColumn("n", (F.col("seq") * 2 + F.col("part") + 1).cast("bigint"))
     fill = [F.col(f"row.`{c}`").alias(c) for c in columns]
     if not masks:
         flat = unmasked(flat, "op")

@@ -105,6 +105,7 @@ class TableReport:
     watermark: str | None = None
     seconds: float = 0.0
     error: str | None = None
+    note: str | None = None
 
 
 @dataclass

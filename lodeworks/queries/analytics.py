@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.functions.scalar import hash_bucket
 from lodeworks.queries.common import Registry, table
 from lodeworks.sources.base import spans
 
@@ -80,10 +79,10 @@ def span_cover(spark, sf_dir):
 
 @add("""select o_orderstatus, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem join orders on l_orderkey = o_orderkey group by 1""")
 def bucketed_join(spark, sf_dir):
-    """Both sides cut by one hash of the key, joined bucket by bucket, partial sums added up."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").withColumn("b", hash_bucket(F.col("l_orderkey"), 16))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").withColumn("b2", hash_bucket(F.col("o_orderkey"), 16))
-    joined = lines.join(orders, (F.col("b") == F.col("b2")) & (F.col("l_orderkey") == F.col("o_orderkey")))
+    """Both sides cut into 16 by the hash of the key, joined bucket by bucket without another exchange, partial sums added up."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").repartition(16, "l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").repartition(16, "o_orderkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
@@ -100,13 +99,16 @@ def predicate_pushdown(spark, sf_dir):
     return e.where((F.col("event_id") % 7 == 3) & (F.col("value") * 2 + 1 > 100) & (F.col("event_type") != "view") & (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))).select("event_id", "user_id", "value")
 
 
-@add("""select count(*) as n, sum(l_orderkey)::bigint as keys, md5(string_agg(l_returnflag || l_linestatus, '' order by l_orderkey, l_linenumber, l_returnflag, l_linestatus)) as digest,
-count(*) filter (where l_returnflag = 'R') as returned from lineitem""")
+ROW_TEXT = "concat_ws('|', l_orderkey, l_linenumber, l_returnflag, l_linestatus)"
+
+
+@add(f"""with h as (select l_orderkey, l_returnflag, ('0x' || md5({ROW_TEXT})[1:15])::bigint as h from lineitem)
+select count(*) as n, sum(l_orderkey)::bigint as keys, sum(h % 1000000007)::bigint as digest_sum, bit_xor(h) as digest_xor, count(*) filter (where l_returnflag = 'R') as returned from h""")
 def source_vs_dest_digest(spark, sf_dir):
-    """The digest that two copies of a table are compared by."""
-    c = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")))
-    text = F.array_join(F.transform(c, lambda r: F.concat(r["l_returnflag"], r["l_linestatus"])), "")
-    return table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"), F.md5(text).alias("digest"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    """The digest that two copies of a table are compared by: sums and exclusive-or of row hashes, in any order, with partial combine."""
+    h = F.conv(F.substring(F.md5(F.expr(ROW_TEXT)), 1, 15), 16, 10).cast("bigint")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", h.alias("h"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"), F.sum(F.col("h") % 1000000007).alias("digest_sum"), F.bit_xor("h").alias("digest_xor"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
 
 
 @add("""select n_name, round(sum(o_totalprice), 2) as total, count(distinct c_custkey) as customers

@@ -84,12 +84,22 @@ class JdbcSink:
             self._run(f"DROP TABLE {self._q(stage)}")
             return 0, None
         mark = self._mark(stage, cursor)
-        bare = self._q(name.rpartition(".")[2])
-        steps = [f"DROP TABLE {self._q(name)}"] if self.exists(name) else []
-        steps.append(f"RENAME TABLE {self._q(stage)} TO {bare}" if self.scheme in ("jdbc", "mysql") else f"ALTER TABLE {self._q(stage)} RENAME TO {bare}")
-        self._run(*steps, *self._state_sql(name, source, cursor, mark, all_sources=True))
+        self._run(*self.publish_sql(name, stage, self.exists(name)), *self._state_sql(name, source, cursor, mark, all_sources=True))
         return rows, mark
 
+    def publish_sql(self, name: str, stage: str, there: bool) -> list[str]:
+        """Statements that put the staged table in place of name, so that no reader meets
+        a moment without it: DDL in a transaction where the database has that, else
+        one renaming (or exchanging) statement, and only then the drop."""
+        new, here, old = self._q(stage), self._q(name), self._q(helper_name(name, Helper.OUTGOING, self.limit))
+        bare = self._q(name.rpartition(".")[2])
+        if self.scheme == "mysql":
+            return [f"DROP TABLE IF EXISTS {old}", f"RENAME TABLE {here} TO {old}, {new} TO {here}", f"DROP TABLE {old}"] if there else [f"RENAME TABLE {new} TO {here}"]
+        if self.scheme == "clickhouse":
+            return [f"EXCHANGE TABLES {new} AND {here}", f"DROP TABLE {new}"] if there else [f"RENAME TABLE {new} TO {here}"]
+        drop = [f"DROP TABLE {here}"] if there else []
+        return [*drop, f"RENAME TABLE {new} TO {bare}" if self.scheme == "jdbc" else f"ALTER TABLE {new} RENAME TO {bare}"]
+
     def _mark(self, table: str, cursor: str | None) -> str | None:
         if cursor is None:
             return None

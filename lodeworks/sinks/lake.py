@@ -27,6 +27,8 @@ from lodeworks.operators.incremental import check_drift, latest_per_key, sort_fo
 from lodeworks.plans import watermark
 
 TRIES = 3
+#: Folders that no version names stay this long: a running writer may still publish them.
+STAGED_SECONDS = 86_400
 PARTITION = "_month"
 
 
@@ -40,6 +42,7 @@ class Version:
     deletes: list[list] = field(default_factory=list)  # [folder, seq]
     state: dict[str, dict] = field(default_factory=dict)  # by source
     extra: dict[str, str] = field(default_factory=dict)
+    part: str | None = None  # what the table is partitioned by
 
 
 class LakeTable:
@@ -112,7 +115,7 @@ class LakeTable:
         calm = [d for d, seq, _ in v.data if first_delete is None or all(seq >= s for _, s in dels)]
         rest = [(d, seq) for d, seq, _ in v.data if d not in calm]
         parts = []
-        read = self.spark.read.schema(schema)
+        read = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
         if calm:
             parts.append(read.parquet(*[f"{self.path}/data/{d}" for d in calm]).select(*[F.col(f"`{c}`") for c in schema.fieldNames()]))
         if rest:
@@ -122,7 +125,7 @@ class LakeTable:
                 rows = one if rows is None else rows.unionByName(one)
             keys = None
             for d, s in dels:
-                one = self.spark.read.parquet(f"{self.path}/data/{d}").select(*v.pk).withColumn("_del_", F.lit(s))
+                one = read.parquet(f"{self.path}/data/{d}").select(*v.pk).withColumn("_del_", F.lit(s))
                 keys = one if keys is None else keys.unionByName(one)
             keys = keys.groupBy(*v.pk).agg(F.max("_del_").alias("_del_"))
             met = rows.join(keys, v.pk, "left").where("_del_ is null or _del_ <= _seq_")
@@ -157,9 +160,10 @@ class LakeTable:
     def _state(self, source: str, cursor: str | None, mark: str | None, mode: str, rows: int) -> dict:
         return {source: {"cursor": cursor, "watermark": mark, "mode": mode, "rows": rows, "synced_at": time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())}}
 
-    def replace(self, df: DataFrame, source: str, cursor: str | None = None, pk=(), order_by: str | None = None, partition_by: str | None = None, mode: str = "replace", extra: dict | None = None) -> tuple[int, str | None]:
-        """Put df in place of everything; no rows change nothing. The states of all sources go."""
-        folder, rows, mark = self._write(df, cursor, order_by, partition_by)
+    def replace(self, df: DataFrame, source: str, cursor: str | None = None, pk=(), order_by: str | None = None, partition_by: str | None = None, mode: str = "replace", extra: dict | None = None, mark: str | None = None) -> tuple[int, str | None]:
+        """Put df in place of everything; no rows change nothing. The states of all sources go. mark: the watermark to note, if it isn't the cursor's greatest."""
+        folder, rows, seen = self._write(df, cursor, order_by, partition_by)
+        mark = mark or seen
         if not rows:
             self.drop_staged(folder)
             return 0, None
@@ -167,7 +171,7 @@ class LakeTable:
 
         def change(now: Version | None) -> Version:
             seq = (now.seq if now else 0) + 1
-            return Version(schema=schema, pk=list(pk), seq=seq, data=[[folder, seq, rows]], state=self._state(source, cursor, mark, mode, rows), extra=extra or {})
+            return Version(schema=schema, pk=list(pk), seq=seq, data=[[folder, seq, rows]], state=self._state(source, cursor, mark, mode, rows), extra=extra or {}, part=partition_by)
 
         self.publish(change)
         return rows, mark
@@ -175,13 +179,14 @@ class LakeTable:
     def append(self, df: DataFrame, source: str, cursor: str, order_by: str | None = None, partition_by: str | None = None, extra: dict | None = None) -> tuple[int, str | None]:
         now = self.version()
         check_drift(self.spark.createDataFrame([], StructType.fromJson(json.loads(now.schema))), df)
-        folder, rows, mark = self._write(df, cursor, order_by, partition_by)
+        folder, rows, mark = self._write(df, cursor, order_by, partition_by or now.part)
         if not rows:
             self.drop_staged(folder)
             return 0, now.state.get(source, {}).get("watermark")
         numeric = watermark.is_numeric(df.schema[cursor].dataType)
 
         def change(v: Version) -> Version:
+            self._check_same(now, v)
             v.seq += 1
             v.data.append([folder, v.seq, rows])
             old = v.state.get(source, {}).get("watermark")
@@ -200,7 +205,7 @@ class LakeTable:
         schema = StructType.fromJson(json.loads(now.schema))
         check_drift(self.spark.createDataFrame([], schema), df)
         new = latest_per_key(df, now.pk, [cursor] if cursor and cursor not in now.pk else [])
-        folder, rows, seen = self._write(new.select(schema.fieldNames()), cursor, order_by, None)
+        folder, rows, seen = self._write(new.select(schema.fieldNames()), cursor, order_by, now.part)
         mark = mark or seen
         gone = None
         if deletes is not None:
@@ -212,6 +217,7 @@ class LakeTable:
         numeric = bool(cursor) and watermark.is_numeric(df.schema[cursor].dataType)
 
         def change(v: Version) -> Version:
+            self._check_same(now, v)
             v.seq += 1
             if wipe:
                 v.data, v.deletes = [], []
@@ -231,7 +237,7 @@ class LakeTable:
     def compact(self) -> None:
         """Rewrite the table without the rows that are gone; states and keys stay."""
         v = self.version()
-        folder, rows, _ = self._write(self.frame(v), None, None, None)
+        folder, rows, _ = self._write(self.frame(v), None, None, v.part)
 
         def change(now: Version) -> Version:
             if now.number != v.number:
@@ -242,14 +248,21 @@ class LakeTable:
 
         self.publish(change)
 
-    def vacuum(self) -> int:
-        """Delete data folders that the newest version doesn't name; returns how many."""
+    def _check_same(self, then: Version, now: Version | None) -> None:
+        """A commit that is tried again must find the table as it was checked."""
+        if now is None or (now.schema, now.pk) != (then.schema, then.pk):
+            raise TransferError(f"{self.name} was replaced by another writer with another schema or key")
+
+    def vacuum(self, older_than: float = STAGED_SECONDS) -> int:
+        """Delete data folders that the newest version doesn't name and that are older
+        than so many seconds; returns how many."""
         v, fs, count = self.version(), self._fs(), 0
-        used = {d for d, *_ in [*v.data, *v.deletes]} if v else set()
+        used = {d for d, *_ in [*v.data, *v.deletes]} | set(json.loads(v.extra.get("held", "[]"))) if v else set()
+        until = (time.time() - older_than) * 1000
         at = self._p(f"{self.path}/data")
         if fs.exists(at):
             for s in fs.listStatus(at):
-                if s.getPath().getName() not in used:
+                if s.getPath().getName() not in used and s.getModificationTime() <= until:
                     fs.delete(s.getPath(), True)
                     count += 1
         return count

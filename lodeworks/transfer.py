@@ -12,6 +12,7 @@ from lodeworks.naming import check_destinations
 from lodeworks.operators.incremental import append_delta, check_drift, latest_per_key, merge_delta, sort_for
 from lodeworks.plans import watermark
 from lodeworks.plans.spec import MODE_ORDER, Mode, RunReport, TableReport, TableSpec, TransferOptions, select_tables
+from lodeworks.progress import Progress
 from lodeworks.reader import Reader, reader
 from lodeworks.sinks.jdbc import JdbcSink
 from lodeworks.sinks.lake import Lake
@@ -79,6 +80,8 @@ def open_source(spark: SparkSession, src):
     files = {"csv": CsvRepository, "github": CsvRepository, "sheets": SheetPages, "gsheets": SheetPages, "api": ApiPages, "github+api": ApiPages}
     if scheme in files:
         return files[scheme](spark, _below(src))
+    if scheme == "log":
+        return ChangeLog(spark, _below(src))
     if scheme == "lake":
         return LakeSource(Lake(spark, _below(src)))
     if scheme in ("postgres", "mysql", "clickhouse") or src.startswith("jdbc:"):
@@ -88,7 +91,7 @@ def open_source(spark: SparkSession, src):
 
 def open_sink(spark: SparkSession, dst: str):
     scheme = scheme_of(dst)
-    if scheme in ("lake", "iceberg", "bigquery"):
+    if scheme == "lake":
         return Lake(spark, _below(dst))
     if scheme in ("parquet", "csv"):
         return ObjectStore(spark, _below(dst), scheme)
@@ -114,41 +117,44 @@ def read(spark: SparkSession, src, table: str | None = None, *, cursor: str | No
     return reader(source.frame(table, cursor, parallel), columns)
 
 
-def transfer(spark: SparkSession, src, dst: str, *, table: str | None = None, tables: list | dict | None = None, schema: str | None = None, dest_table: str | None = None, mode: str = "replace", checkpoint: str | None = None, **options) -> RunReport:
+def transfer(spark: SparkSession, src, dst: str, *, table: str | None = None, tables: list | dict | None = None, schema: str | None = None, dest_table: str | None = None, mode: str = "replace", checkpoint: str | None = None, progress: str | None = None, **options) -> RunReport:
     """Move tables from src to dst; see TransferOptions for the knobs.
 
     tables may map each table to its own mode; modes run in the order replace,
     append, merge, log_based, largest tables first, several at a time. One table
     that fails doesn't stop the others: MultiTransferError then carries the report.
+    progress: a style of progress.Progress to report finished tables in. Of a
+    log:// source, tables in other modes than log_based are its snapshots.
     """
     opts = TransferOptions(mode=mode, **options).checked()
     pairs, listed = select_tables(table, tables, schema, opts.mode)
     if dest_table is not None and table is None:
         raise InvalidInput("dest_table is for a single table")
     began = time.time()
-    if any(m is Mode.LOG_BASED for _, m in pairs) or (listed is not None and opts.mode is Mode.LOG_BASED):
-        if not isinstance(src, str) or scheme_of(src) != "log":
-            raise InvalidInput("log_based needs a log:// source")
-        sink = open_sink(spark, dst)
-        if "log_based" not in sink.modes:
-            raise InvalidInput(f"{sink.kind} can't follow a log")
-        log = ChangeLog(spark, _below(src))
-        names = [t for t, m in pairs if m is Mode.LOG_BASED] or sorted(log.meta["tables"])
-        if opts.slots > 1 and len(names) < 2:
-            raise InvalidInput("slots needs more than one table")
-        check_destinations(names)
-        report = RunReport(follow(log, sink, names, checkpoint or f"{sink.root}/.checkpoints", opts.changelog, opts.slots), time.time() - began)
-        return _done(report, len(names) > 1)
+    show = Progress(progress) if progress else None
+    logged = [t for t, m in pairs if m is Mode.LOG_BASED]
+    whole_log = listed is not None and opts.mode is Mode.LOG_BASED
+    if (logged or whole_log) and (not isinstance(src, str) or scheme_of(src) != "log"):
+        raise InvalidInput("log_based needs a log:// source")
     source, sink = open_source(spark, src), open_sink(spark, dst)
+    if (logged or whole_log) and "log_based" not in sink.modes:
+        raise InvalidInput(f"{sink.kind} can't follow a log")
     sizes: dict[str, int | None] = {}
-    if listed is not None:
+    if whole_log:
+        logged = sorted(source.meta["tables"])
+    elif listed is not None:
         specs = source.tables(listed or None)
         pairs = [(s.name, opts.mode) for s in specs]
         sizes = {s.name: s.est_rows for s in specs}
+    if opts.slots > 1 and len(logged) < 2:
+        raise InvalidInput("slots needs more than one table")
     name_of = lambda t: dest_table or t.rpartition("/")[2] if not isinstance(sink, JdbcSink) else dest_table or t
-    check_destinations([name_of(t) for t, _ in pairs])
+    check_destinations([*logged, *(name_of(t) for t, m in pairs if m is not Mode.LOG_BASED)])
     report = RunReport()
     for kind in MODE_ORDER:
+        if kind is Mode.LOG_BASED and logged:
+            report.tables += follow(source, sink, logged, checkpoint or f"{sink.root}/.checkpoints", opts.changelog, opts.slots)
+            continue
         group = sorted((t for t, m in pairs if m is kind), key=lambda t: -(sizes.get(t) or 1 << 62))
         if not group:
             continue
@@ -160,7 +166,10 @@ def transfer(spark: SparkSession, src, dst: str, *, table: str | None = None, ta
         with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
             report.tables += list(pool.map(one, group))
     report.seconds = time.time() - began
-    return _done(report, len(pairs) > 1)
+    if show:
+        for t in report.tables:
+            show.add(t.table, t.rows, done=True)
+    return _done(report, len(report.tables) > 1)
 
 
 def _done(report: RunReport, many: bool) -> RunReport:
