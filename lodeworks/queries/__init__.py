@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeworks.queries import analytics, changes, landing, scalars, stored
+from lodeworks.queries import analytics, changes, contracts, landing, scalars, stored
 
-_PARTS = (analytics, landing, changes, scalars, stored)
+_PARTS = (analytics, landing, changes, scalars, stored, contracts)
 
 
 def queries() -> dict:

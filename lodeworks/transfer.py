@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeworks.errors import InvalidInput, MultiTransferError
+from lodeworks.functions.scalar import partition_column
 from lodeworks.naming import check_destinations
 from lodeworks.operators.incremental import append_delta, check_drift, latest_per_key, merge_delta, sort_for
 from lodeworks.plans import watermark
@@ -136,9 +138,10 @@ def transfer(spark: SparkSession, src, dst: str, *, table: str | None = None, ta
     whole_log = listed is not None and opts.mode is Mode.LOG_BASED
     if (logged or whole_log) and (not isinstance(src, str) or scheme_of(src) != "log"):
         raise InvalidInput("log_based needs a log:// source")
-    source, sink = open_source(spark, src), open_sink(spark, dst)
+    sink = open_sink(spark, dst)
     if (logged or whole_log) and "log_based" not in sink.modes:
         raise InvalidInput(f"{sink.kind} can't follow a log")
+    source = open_source(spark, src)
     sizes: dict[str, int | None] = {}
     if whole_log:
         logged = sorted(source.meta["tables"])
@@ -203,6 +206,11 @@ def _to_objects(sink: ObjectStore, df, dest, me, mode, cursor, pk, opts, table):
 def _to_lake(sink: Lake, df, dest, me, mode, cursor, pk, opts, table):
     t = sink.table(dest)
     part = opts.partition_for(table)
+    if part:
+        try:  # analysis alone tells whether the clause holds; nothing is read
+            df.limit(0).select(partition_column(part, df.columns)).schema  # noqa: B018
+        except AnalysisException as e:
+            raise InvalidInput(f"partition_by {part!r} doesn't fit {table}: {e.getCondition()}") from None
     have = t.version()
     mark = t.watermark_for(me, cursor) if mode is not Mode.REPLACE and have else None
     if mode is Mode.MERGE and not pk and not (have and have.pk):
