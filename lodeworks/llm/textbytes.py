@@ -64,16 +64,21 @@ def frugal(work):
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return the memory that is free to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Roller:
     """Sums of key[byte] * r**i, from which the hash of any span comes in O(1)."""
 

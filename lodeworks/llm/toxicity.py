@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import make_room
-from lodeworks.llm.textbytes import Roller, chunks, frugal, terms, text_column
+from lodeworks.llm.textbytes import Roller, chunks, frugal, give_back, terms, text_column
 
 BUCKET_BITS = 20
 PREFIX_BYTES = 5
@@ -70,11 +70,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _rows(flat: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of some texts (flat[first[i]:first[i + 1]] each), and where each text's begin."""
-    size = first[rows + 1] - first[rows]
-    at = np.concatenate([[0], np.cumsum(size)])
-    return flat[np.arange(at[-1]) + np.repeat(first[rows] - at[:-1], size)], at
+def _tally(flat: np.ndarray, first: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """For each term the sum of the weights of its texts, some texts at a time."""
+    out = np.zeros(size)
+    for a in range(0, len(weight), 2048):
+        b = min(len(weight), a + 2048)
+        out += np.bincount(flat[first[a] : first[b]], weights=np.repeat(weight[a:b], np.diff(first[a : b + 1])), minlength=size)
+    return out
+
+
+def _only(flat: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' terms that have a number, as that number, and where each text's begin."""
+    own = number[flat]
+    on = own >= 0
+    count = _sums(on, first).astype(np.int64)
+    return own[on], np.concatenate([[0], np.cumsum(count)])
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -82,7 +92,7 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first) - 1, *x.shape[1:]))
     some = np.diff(first) > 0
     if some.any():
-        out[some] = np.add.reduceat(x, first[:-1][some])
+        out[some] = np.add.reduceat(x, first[:-1][some], dtype=float)
     return out
 
 
@@ -121,17 +131,14 @@ def partners(flat: np.ndarray, first: np.ndarray, label: np.ndarray, p: np.ndarr
     texts can't add up to `least` is in no such pair, and is left out first.
     """
     n, terms = len(label), int(flat.max(initial=-1)) + 1
-    doc = np.repeat(np.arange(n), np.diff(first))
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    gain = -2 * np.log(np.where(label == 1, p, 1 - p))[doc]
-    can = np.maximum(np.bincount(flat, weights=gain * (label[doc] == 1), minlength=terms), np.bincount(flat, weights=gain * (label[doc] == 0), minlength=terms)) >= least
-    place = np.cumsum(can) - 1
+    gain = -2 * np.log(np.where(label == 1, p, 1 - p))
+    can = np.maximum(_tally(flat, first, gain * (label == 1), terms), _tally(flat, first, gain * (label == 0), terms)) >= least
     names = np.flatnonzero(can)
     k = len(names)
     found = [np.zeros((0, 3), np.int64)]
-    on = can[flat]
-    flat, doc = place[flat[on]], doc[on]
-    first = np.searchsorted(doc, np.arange(n + 1))
+    flat, first = _only(flat, first, np.where(can, np.cumsum(can) - 1, -1).astype(np.int32))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     for lo in range(0, k, 512):
         hi = min(k, lo + 512)
         sums = np.zeros((3, hi - lo, k - lo), np.float32)
@@ -150,6 +157,12 @@ def partners(flat: np.ndarray, first: np.ndarray, label: np.ndarray, p: np.ndarr
     return np.concatenate(found)
 
 
+def _joined(bucket: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of some texts end to end, and where each text's begin."""
+    flat = np.concatenate([np.zeros(0, np.int32), *(bucket[i] for i in rows)])
+    return flat, np.concatenate([[0], np.cumsum([len(bucket[i]) for i in rows], dtype=np.int64)])
+
+
 def train(bucket: list[np.ndarray], label: np.ndarray, rank: int = 8, epochs: int = 300, min_chi2: float = 24.0, pair_ratio: float = 40.0, rate: float = 0.1, decay: float = 3e-4, seed: int = 5) -> Machine:
     """Fit on the distinct buckets of each labelled text.
 
@@ -170,24 +183,22 @@ def train(bucket: list[np.ndarray], label: np.ndarray, rank: int = 8, epochs: in
     held = rng.random(n) < 0.2
     if label[~held].sum() in (0, (~held).sum()) or label[held].sum() == 0:
         held[:] = False
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bucket])])
-    names, flat = np.unique(np.concatenate(bucket), return_inverse=True)
     fit = np.flatnonzero(~held)
     y = label[fit]
-    mine, at = _rows(flat, first, fit)
+    flat, first = _joined(bucket, fit)
     np1, np0 = float(y.sum()), float((y == 0).sum())
-    if not len(mine):
-        return Machine(place, np.zeros(0), np.zeros((0, rank)), float(np.log(np1 / np0)) - 1.0, 0.5)
-    toxic = np.repeat(y, np.diff(at))
-    a = np.bincount(mine, weights=toxic, minlength=len(names))
-    c = np.bincount(mine, weights=1 - toxic, minlength=len(names))
-    seen = a + c
+    prior = float(np.log(np1 / np0)) - 1.0
+    if not len(flat):
+        return Machine(place, np.zeros(0), np.zeros((0, rank)), prior, 0.5)
+    size = 1 << BUCKET_BITS
+    a, seen = _tally(flat, first, y, size), _tally(flat, first, np.ones(len(y)), size)
+    c = seen - a
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (np1 + np0) * (a * (np0 - c) - c * (np1 - a)) ** 2 / (np1 * np0 * seen * (np1 + np0 - seen))
     use = np.nan_to_num(chi) >= min_chi2
 
-    def fitted(use: np.ndarray, pairs: np.ndarray) -> tuple[Machine, np.ndarray]:
-        number = np.cumsum(use) - 1
+    def fitted(pairs: np.ndarray) -> tuple[Machine, np.ndarray]:
+        number = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)
         k = int(use.sum())
         v = rng.normal(0, 0.05, (k, rank))
         # the factors of a pair start out pointing the way they will have to
@@ -196,26 +207,22 @@ def train(bucket: list[np.ndarray], label: np.ndarray, rank: int = 8, epochs: in
         push = rng.normal(0, 0.3, (len(pairs), rank)) / np.sqrt(rank * np.maximum(count[i], count[j]))[:, None]
         np.add.at(v, i, push)
         np.add.at(v, j, pairs[:, 2:] * push)
-        m = Machine(place, np.zeros(k), v, float(np.log(np1 / np0)) - 1.0, 0.5)
-        on = use[mine]
-        own, starts = number[mine[on]], np.concatenate([[0], np.cumsum(on)])[at]
+        m = Machine(number, np.zeros(k), v, prior, 0.5)
+        own, starts = _only(flat, first, number)
         if k:
             descend(m, own, starts, y, epochs, rate, decay)
         err, _ = gradient(m, own, starts, y, np.ones(len(y)))
         return m, err + y
 
-    m, p = fitted(use, np.zeros((0, 3), np.int64))
+    m, p = fitted(np.zeros((0, 3), np.int64))
     odds = p / (1 - np.clip(p, 0, 1 - 1e-9)) * np1 / np0 if use.any() else np.full(len(y), np1 / np0)
-    pairs = partners(mine, at, y, odds / (1 + odds), pair_ratio)
+    pairs = partners(flat, first, y, odds / (1 + odds), pair_ratio)
     if len(pairs):
         use[np.unique(pairs[:, :2])] = True
-        m, _ = fitted(use, pairs)
-    place[names[use]] = np.arange(int(use.sum()))
+        m, _ = fitted(pairs)
     check = np.flatnonzero(held) if held.any() else fit
-    own, starts = _rows(flat, first, check)
-    doc = np.repeat(np.arange(len(check)), np.diff(starts))
-    on = use[own]
-    p = 1 / (1 + np.exp(-np.clip(m.logits(doc[on], (np.cumsum(use) - 1)[own[on]], len(check)), -40, 40)))
+    own, starts = _only(*_joined(bucket, check), m.place)
+    p = 1 / (1 + np.exp(-np.clip(m.logits(np.repeat(np.arange(len(check)), np.diff(starts)), own, len(check)), -40, 40)))
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(label[check][order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, label[check].sum()))
@@ -254,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, key: s
     order = np.argsort(np.array(got["k"].to_pylist(), dtype=str), kind="stable")
     lists = got["f"].combine_chunks()
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return train([flat[off[i] : off[i + 1]] for i in order], got["y"].to_numpy()[order].astype(float))
+    machine = train([flat[off[i] : off[i + 1]] for i in order], got["y"].to_numpy()[order].astype(float))
+    del got, lists, flat
+    give_back()
+    return machine
 
 
 def rate(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
