@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
@@ -16,24 +17,20 @@ _OWN: list = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session leaves it unset (tests, local mode) a folder of this
-    machine takes its place.
+    Only in local mode, where the session leaves it unset (as in tests), a folder
+    of this machine takes its place; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.TemporaryDirectory(prefix="lodeworks-"))
         atexit.register(_OWN[0].cleanup)
     return "file://" + _OWN[0].name
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Let checkpoint() work also where the session names no folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
-
-
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -45,7 +42,7 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _PATHS.append((spark, path))
+    _paths().append((spark, path))
     at, fs = _file(spark, path)
     fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,7 +53,12 @@ def _file(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-_PATHS: list = []
+_OF_THREAD = threading.local()
+
+
+def _paths() -> list:
+    """What this thread has landed: jobs in other threads keep lists of their own."""
+    return _OF_THREAD.__dict__.setdefault("paths", [])
 
 
 def grown(df: DataFrame) -> DataFrame:
@@ -68,13 +70,13 @@ def grown(df: DataFrame) -> DataFrame:
 
 def mark() -> int:
     """A place in the list of written tables, for release()."""
-    return len(_PATHS)
+    return len(_paths())
 
 
 def release(since: int, until: int) -> None:
     """Delete the tables that landed() wrote between two marks; call it when nothing reads them any more."""
     for i in range(since, until):
-        spark, path = _PATHS[i]
+        spark, path = _paths()[i]
         at, fs = _file(spark, path)
         fs.delete(at, True)
 

@@ -98,10 +98,12 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
     Returns doc_id, epoch, domain, lang, source, n_tokens, or with carry=True
     the columns of docs, a row for each time a document is taken.
     Nulls: a null lang or source is a leaf named ''; a null text has 0 tokens;
-    a null doc_id counts as the string 'null'. Empty texts cost nothing and come
+    a null doc_id counts as the string 'null'. Rows of one doc_id and size go by
+    the hash of their text. Texts count whole, however long. Empty texts cost nothing and come
     along while the prefix lasts. Rows that are alike are counted each. An empty
     table gives an empty result. Only the columns doc_id, text, lang and source
-    are read by name; others pass through (carry) or are ignored.
+    are read by name; others, whatever their names, pass through (carry) or are
+    ignored.
 
     No window ever spans a leaf: each epoch's order is cut into 4096 buckets by
     the hash, bucket sums give the bucket in which the prefix ends, and only
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
     spark = docs.sparkSession
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     names = docs.columns
-    n = {k: free([*names, "domain"], "_" + k) for k in ("domain", "lang", "source", "tokens", "doc")}
+    n = {k: free([*names, "domain"], "_" + k) for k in ("domain", "lang", "source", "tokens", "doc", "text")}
     base = docs if carry else docs.select("doc_id", "text", "lang", "source")
     base = (
         base.withColumn(n["domain"], F.expr(p["domain"]))
@@ -119,10 +121,11 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
         .withColumn(n["source"], blank("source"))
         .withColumn(n["tokens"], F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("bigint"))
         .withColumn(n["doc"], F.col("doc_id"))
+        .withColumn(n["text"], F.xxhash64("text"))
     )
     base = base.withColumn(n["domain"], F.coalesce(n["domain"], F.lit("")))
     keys = [n["domain"], n["lang"], n["source"]]
-    slim = landed(base.select(*[F.col(c).alias(a) for a, c in (("domain", keys[0]), ("lang", keys[1]), ("source", keys[2]), ("tokens", n["tokens"]), ("doc", n["doc"]))]), "tokens")
+    slim = landed(base.select(*[F.col(c).alias(a) for a, c in (("domain", keys[0]), ("lang", keys[1]), ("source", keys[2]), ("tokens", n["tokens"]), ("doc", n["doc"]), ("th", n["text"]))]), "tokens")
     leaves = landed(slim.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens")), "leaves")
     view = f"lodeworks_leaves_{uuid.uuid4().hex}"
     leaves.createOrReplaceTempView(view)
@@ -143,7 +146,7 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
 
     x = {k: free([*base.columns], f"_p_{k}") for k in ("domain", "lang", "source", "whole", "rest", "edge", "before", "hash", "epoch", "upto", "take")}
     plan = plan.select(*[F.col(k).alias(x[k]) for k in ("domain", "lang", "source", "whole", "rest", "edge", "before")])
-    side = base if carry else slim.select(F.col("doc").alias("doc_id"), F.col("lang"), F.col("source"), F.col("domain").alias(n["domain"]), F.col("lang").alias(n["lang"]), F.col("source").alias(n["source"]), F.col("tokens").alias(n["tokens"]), F.col("doc").alias(n["doc"]))
+    side = base if carry else slim.select(F.col("doc").alias("doc_id"), F.col("lang"), F.col("source"), F.col("domain").alias(n["domain"]), F.col("lang").alias(n["lang"]), F.col("source").alias(n["source"]), F.col("tokens").alias(n["tokens"]), F.col("doc").alias(n["doc"]), F.col("th").alias(n["text"]))
     rows = side.join(plan, (F.col(keys[0]) == F.col(x["domain"])) & (F.col(keys[1]) == F.col(x["lang"])) & (F.col(keys[2]) == F.col(x["source"])))
     rows = rows.withColumn(x["hash"], _order(p["seed"], F.col(x["whole"]), F.col(n["doc"])))
     cell = F.substring(x["hash"], 1, BUCKET_HEX)
@@ -151,7 +154,7 @@ def mix(docs: DataFrame, carry: bool = False, **changes) -> DataFrame:
     sure = F.concat(sure, F.when(cell < F.col(x["edge"]), F.array(F.col(x["whole"]))).otherwise(F.array().cast("array<int>")))
     first = rows.withColumn(x["epoch"], F.explode(sure))
     last = rows.where(cell == F.col(x["edge"]))
-    order = W.partitionBy(*keys).orderBy(x["hash"], F.col(n["doc"]).asc_nulls_first(), n["tokens"]).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*keys).orderBy(x["hash"], F.col(n["doc"]).asc_nulls_first(), n["tokens"], n["text"]).rowsBetween(W.unboundedPreceding, 0)
     last = last.withColumn(x["upto"], F.sum(n["tokens"]).over(order) + F.col(x["before"])).where(F.col(x["upto"]) <= F.col(x["rest"])).withColumn(x["epoch"], F.col(x["whole"])).drop(x["upto"])
     out = first.unionByName(last)
     if carry:
