@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodeworks.llm import pieces, queries
+from lodeworks.llm import pieces, queries, simhash
 from tests.llm import test_repeats, test_simhash
 from tests.llm.conftest import prose
 
@@ -73,3 +73,13 @@ def test_names():
 
     found = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}
     assert found == set(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_near_dedup_of_a_crowd_takes_few_candidates(spark, docs_of, monkeypatch):
+    rows = list(enumerate(test_simhash.crowd(random.Random(23), 100, 700, 4)))
+    tables, landed = {}, simhash.landed
+    monkeypatch.setattr(simhash, "landed", lambda df, name: tables.update({name: landed(df, name)}) or tables[name])
+    left = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs_of(rows), "").collect()]
+    assert tables["candidates"].count() < 60 * len(rows)  # a quarter of a million pairs
+    gone = {k for k, _ in test_simhash.brute_by_term(rows)}
+    assert sorted(left) == [k for k, _ in rows if k not in gone]
