@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.errors import InvalidInput
 from lodeworks.operators import changelog
 from lodeworks.queries import changes
 from lodeworks.queries.common import Registry, table
+from lodeworks.session import scratch
 from lodeworks.sinks.lake import Lake
 from lodeworks.transfer import read, transfer
 
@@ -20,19 +18,6 @@ add = Registry()
 QUERIES, SQL = add.queries, add.sql
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the one that the cluster shares; of this machine only in local mode, where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise InvalidInput("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return root
-
-
 def put(spark: SparkSession, path: str, text: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
