@@ -83,3 +83,20 @@ def test_groups():
     assert group_start({"a": 7, "b": 5}) == 5
     with pytest.raises(InvalidInput, match="torn"):
         group_start({"a": 7, "b": None})
+
+
+@pytest.mark.parametrize("as_log", [False, True])
+def test_a_log_of_one_file_is_spread_over_tasks(spark, tmp_path, monkeypatch, as_log):
+    root, lake, sizes = tmp_path / "log", Lake(spark, str(tmp_path / "lake")), []
+    make_log(spark, root, ["a"])
+    one = [(101, 0, 0, i, "I", None, (10 + i, "n", "x"), []) for i in range(3000)]
+    data = one + [(102 + i, 0, 0, 0, "U", None, (10 + i, f"{i}", None), ["b"]) for i in range(1000)]
+    spark.createDataFrame(data, cdc.event_schema(ROW)).coalesce(1).write.mode("append").parquet(f"{root}/a/log")
+    module, name = (changelog, "capture") if as_log else (cdc, "collapse")
+    real = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda events, *a, **k: sizes.append(events.rdd.glom().map(len).collect()) or real(events, *a, **k))
+    transfer(spark, f"log://{root}", lake.url, table="a", mode="log_based", changelog=as_log)
+    assert max(sum(s) for s in sizes) == 3999 and all(max(s) < 0.6 * sum(s) for s in sizes if sum(s) > 100)
+    table = lake.table("a").frame()
+    now = rows(changelog.current_view(table, PK) if as_log else table)
+    assert len(now) == len(BASE) + 3000 and [r for r in now if r[0] == 15] == [(15, "5", "x")]
