@@ -88,8 +88,8 @@ def _log(spark, sf_dir, masks: bool) -> str:
     put(spark, f"{root}/server.json", json.dumps({"server": "test", "snapshot_lsn": 0, "tables": {"users": {"pk": ["user_id"]}}}))
     changes.target(spark, sf_dir, every=masks).write.parquet(f"{root}/users/snapshot")
     e = changes.log(spark, sf_dir, masks=masks).withColumn("commit_lsn", F.col("commit_lsn") + 1)
-    for part in range(2):
-        e.where((F.col("commit_lsn") > 500) == bool(part)).coalesce(1).write.mode("append").parquet(f"{root}/users/log")
+    for part, files in enumerate((1, 15)):  # so many make one window of a drain
+        e.where((F.col("commit_lsn") > 500) == bool(part)).repartitionByRange(files, "commit_lsn").write.mode("append").parquet(f"{root}/users/log")
     return root
 
 
